@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import split
-from millrace.session import table
+from pyspark.sql import functions as F
+
+from millrace.llm import components, split
+from millrace.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +28,27 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.explode_pieces(cut, ["sample_id"]).dropDuplicates(["sample_id", "field", "piece"])
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+def _sample_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(components.grouped_records(table(spark, sf_dir, "samples")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with a split whose source, over all records, is torn between splits."""
+    return components.torn_records(_sample_groups(spark, sf_dir)).select(F.col("record").alias("sample_id"))
+
+
+def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every record, the same for all records of a source."""
+    groups = _sample_groups(spark, sf_dir)
+    splits = components.assign_splits(groups).select("component", F.col("split").alias("assigned"))
+    return groups.join(splits, "component").select(F.col("record").alias("sample_id"), "component", "given", "assigned")
+
+
+def p2_torn_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources which the given splits tear apart, with their records per split."""
+    return components.torn_components(_sample_groups(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources}
 
 ORACLES: dict[str, str] = {}
