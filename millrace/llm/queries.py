@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import components, split
+from millrace.llm import components, endings, split
 from millrace.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,27 @@ def p2_torn_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.torn_components(_sample_groups(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources}
+def _p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    neg, sam = table(spark, sf_dir, "negative_pair"), table(spark, sf_dir, "samples")
+    return neg.select(F.lit("negative_reasoning").alias("field"), F.col("id").alias("record_key"), "dataset_name", F.col("negative_reasoning").alias("text")).unionByName(
+        sam.select(F.lit("retrieved_evidence").alias("field"), F.col("sample_id").cast("string").alias("record_key"), "dataset_name", F.col("retrieved_evidence").alias("text"))
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of negative_reasoning and retrieved_evidence that break off inside a sentence or word."""
+    judged = endings.judge_endings(_p4_values(spark, sf_dir), ["record_key"], "field", "text")
+    return judged.filter("truncated").select("field", "record_key")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of truncated values by field and dataset_name, each key counted once."""
+    judged = endings.judge_endings(_p4_values(spark, sf_dir), ["record_key", "dataset_name"], "field", "text")
+    return judged.groupBy("field", "dataset_name").agg(
+        F.count("*").alias("n_values"), F.count_if("truncated").alias("n_truncated"), F.avg(F.col("truncated").cast("int")).alias("share")
+    )
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates}
 
 ORACLES: dict[str, str] = {}
