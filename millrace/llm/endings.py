@@ -1,6 +1,6 @@
 """Problem 4: texts that break off before they are complete.
 
-Method: a backward character n-gram model. The context of a text's end, its last 4 to 32 characters,
+Method: a backward character n-gram model. The context of a text's end, its last 4 to 64 characters,
 is looked up among all places of all texts: how often does a text end right after it, and how often
 does it go on? At the longest context with enough evidence the log-odds of end against continuation
 decide, with a threshold for each language and column.
@@ -27,7 +27,7 @@ from millrace.llm.sentences import ABBREVIATIONS
 from millrace.llm.textarr import HAN, Ngrams, chunks, codepoints
 from millrace.session import cut_lineage
 
-ORDERS = (32, 24, 16, 12, 8, 4)
+ORDERS = (64, 48, 32, 24, 16, 12, 8, 4)
 BITMAP_BITS = 1 << 23
 
 # What marks a cut, and what may follow a complete text.

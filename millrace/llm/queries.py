@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import components, endings, split
+from millrace.llm import components, defects, endings, split
 from millrace.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chosen and rejected side that is no proper answer to its prompt, with its defect."""
+    return defects.pair_defects(table(spark, sf_dir, "preference_row"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found}
 
 ORACLES: dict[str, str] = {}
