@@ -29,6 +29,8 @@ from millrace.session import cut_lineage
 
 ORDERS = (64, 48, 32, 24, 16, 12, 8, 4)
 BITMAP_BITS = 1 << 23
+#: So many last characters are looked at; the longest context and all marks fit.
+TAIL = 400
 
 # What marks a cut, and what may follow a complete text.
 CUT_MARKS = re.compile(
@@ -48,11 +50,13 @@ def language_of(text: str) -> str:
 
 
 def context_of(text: str) -> tuple[str, bool]:
-    """The text up to its end without marks of a cut, and whether it broke inside a character or entity.
+    """The last characters up to the text's end without marks of a cut, and whether it broke inside a character or entity.
 
     A cut mark is not the end itself: what stands before it decides.
     """
-    body = text.rstrip()
+    body = text[-TAIL:].rstrip()
+    if not body:
+        body = text.rstrip()[-TAIL:]
     stripped = CUT_MARKS.sub("", body)
     whole = BROKEN.sub("", stripped)
     broken = len(whole) < len(stripped)

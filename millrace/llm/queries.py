@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import components, defects, endings, split
+from millrace.llm import components, defects, endings, langid, split
 from millrace.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects.pair_defects(table(spark, sf_dir, "preference_row"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found}
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.detect(docs, ["doc_id", "lang"], "text", langid.fit_from(docs, "doc_id", "text", "lang"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of each document whose label is missing or wrong, or that has several."""
+    langs = langid.document_languages(_detected(spark, sf_dir), ["doc_id", "lang"]).withColumn("label", langid.label_language(F.col("lang")))
+    wrong = F.col("label").isNull() | (F.size("langs") > 1) | ~F.array_contains(F.col("langs.lang"), F.col("label"))
+    return langs.filter(wrong).select("doc_id", F.explode("langs.lang").alias("lang")).distinct()
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's languages with a confidence, whatever its label."""
+    langs = langid.document_languages(_detected(spark, sf_dir), ["doc_id"])
+    return langs.select("doc_id", F.inline_outer("langs")).dropDuplicates(["doc_id", "lang"])
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every document in one language."""
+    return _detected(spark, sf_dir).select("doc_id", F.inline("segments")).dropDuplicates(["doc_id", "start"])
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
 
 ORACLES: dict[str, str] = {}
