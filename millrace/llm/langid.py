@@ -52,10 +52,9 @@ def label_language(lang: Column) -> Column:
     """Two-letter code of a label in any known notation; an unknown label as it stands; null where it names no language."""
     part = F.lower(F.trim(lang))
     part = F.regexp_replace(F.split_part(F.regexp_replace(part, "[-_ (].*$", ""), F.lit("/"), F.lit(1)), r"[^\p{L}]", "")
-    out = F.when(part.isNull() | (part == "") | part.isin(*UNUSABLE), F.lit(None).cast("string")).otherwise(part)
-    for code, spelled in NOTATIONS.items():
-        out = F.when(part.isin(*spelled), code).otherwise(out)
-    return out
+    known = {spelled: code for code, all_spelled in NOTATIONS.items() for spelled in all_spelled} | dict.fromkeys(UNUSABLE, "")
+    codes = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    return F.nullif(F.coalesce(F.try_element_at(codes, part), part), F.lit(""))
 
 
 @dataclass
@@ -211,11 +210,11 @@ def fit_from(df: DataFrame, key: str, text: str, lang: str, rows: int = SAMPLE_R
     first `chars` characters; this bounds training, not the labelling.
     """
     labelled = df.select(label_language(F.col(lang)).alias("l"), F.xxhash64(key).alias("h"), F.col(text).alias("t"))
-    wanted = F.lit(False)
+    last: list = []
     for code in LANGUAGES:
-        last = labelled.filter(F.col("l") == code).select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-        if last is not None:
-            wanted = wanted | ((F.col("l") == code) & (F.col("h") <= last))
+        most = labelled.filter(F.col("l") == code).select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+        last += [F.lit(code), F.lit(most).cast("bigint")]
+    wanted = F.col("h") <= F.try_element_at(F.create_map(*last), F.col("l"))
     got = labelled.filter(wanted).select("l", F.substring("t", 1, chars).alias("t")).filter("t is not null").toPandas()
     return fit_filters(got["t"].tolist(), got["l"].tolist())
 
