@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import components, defects, endings, langid, split
+from millrace.llm import components, defects, endings, langid, leaks, split
 from millrace.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,20 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detected(spark, sf_dir).select("doc_id", F.inline("segments")).dropDuplicates(["doc_id", "start"])
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "mcq_row"), "id", "question")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with each test item of which it holds a passage."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaked items with the number of documents that hold them."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.max("n_words").alias("most_words"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
 
 ORACLES: dict[str, str] = {}
