@@ -57,8 +57,8 @@ def context_of(text: str) -> tuple[str, bool]:
     body = text[-TAIL:].rstrip()
     if not body:
         body = text.rstrip()[-TAIL:]
-    stripped = CUT_MARKS.sub("", body)
-    whole = BROKEN.sub("", stripped)
+    stripped = body[:-48] + CUT_MARKS.sub("", body[-48:])  # no mark is longer
+    whole = stripped[:-24] + BROKEN.sub("", stripped[-24:])
     broken = len(whole) < len(stripped)
     return whole.rstrip(), broken
 
