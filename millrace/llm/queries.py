@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import components, defects, endings, langid, leaks, split
+from millrace.llm import components, defects, endings, langid, leaks, packing, split
 from millrace.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +112,26 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.max("n_words").alias("most_words"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the packing had to cut."""
+    return packing.oversized(_packed(spark, sf_dir), "doc_id")
+
+
+def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence and position of every document or piece."""
+    return _packed(spark, sf_dir)
+
+
+def p7_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the sequences are: their number, tokens, and unused share."""
+    filled = _packed(spark, sf_dir).filter("sequence is not null").groupBy("sequence").agg(F.sum("n_tokens").alias("tokens"))
+    return filled.agg(F.count("*").alias("n_sequences"), F.sum("tokens").alias("n_tokens"), F.max("tokens").alias("fullest"), (1 - F.avg("tokens") / packing.CAPACITY).alias("unused"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p7_found": p7_found, "p7_places": p7_places, "p7_use": p7_use, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
 
 ORACLES: dict[str, str] = {}
