@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import components, defects, endings, langid, leaks, packing, split
+from millrace.llm import components, consensus, defects, endings, langid, leaks, packing, split
 from millrace.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,30 @@ def p7_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.agg(F.count("*").alias("n_sequences"), F.sum("tokens").alias("n_tokens"), F.max("tokens").alias("fullest"), (1 - F.avg("tokens") / packing.CAPACITY).alias("unused"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p7_found": p7_found, "p7_places": p7_places, "p7_use": p7_use, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
+def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
+    return consensus.fit(consensus.ratings(table(spark, sf_dir, "review_sample")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus decision of each item that at least three reviewers decided on."""
+    return _consensus(spark, sf_dir).items().filter("n_reviewers >= 3").select(F.col("item").alias("id"), "decision")
+
+
+def p6_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision, confidence and score of every item with a readable decision."""
+    return _consensus(spark, sf_dir).items().withColumnRenamed("item", "id")
+
+
+def p6_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reviewer's reliability with its interval."""
+    return _consensus(spark, sf_dir).reviewers()
+
+
+def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Krippendorff's alpha of the decisions."""
+    return consensus.krippendorff(consensus.ratings(table(spark, sf_dir, "review_sample")))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p6_consensus": p6_consensus, "p6_reviewers": p6_reviewers, "p6_agreement": p6_agreement, "p7_found": p7_found, "p7_places": p7_places, "p7_use": p7_use, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
 
 ORACLES: dict[str, str] = {}
