@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import components, consensus, defects, endings, langid, leaks, packing, split
+from millrace.llm import components, consensus, crosssplit, defects, endings, langid, leaks, packing, split
 from millrace.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,20 @@ def p2_torn_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.torn_components(_sample_groups(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training record and one of val or test with the same or nearly the same context."""
+    pairs = crosssplit.cross_split_overlaps(table(spark, sf_dir, "samples"))
+    return pairs.select(F.least("held_id", "train_id").alias("id_a"), F.greatest("held_id", "train_id").alias("id_b")).distinct()
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs by the evaluation record's split and dataset_name, and how many of its records are in one."""
+    samples = table(spark, sf_dir, "samples")
+    names = samples.groupBy(F.col("sample_id").alias("held_id")).agg(F.min("dataset_name").alias("dataset_name"))
+    pairs = crosssplit.cross_split_overlaps(samples).distinct()
+    return pairs.join(names, "held_id").groupBy(F.col("held_part").alias("split"), "dataset_name").agg(F.count("*").alias("n_pairs"), F.count_distinct("held_id").alias("n_records"))
+
+
 def _p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     neg, sam = table(spark, sf_dir, "negative_pair"), table(spark, sf_dir, "samples")
     return neg.select(F.lit("negative_reasoning").alias("field"), F.col("id").alias("record_key"), "dataset_name", F.col("negative_reasoning").alias("text")).unionByName(
@@ -156,6 +170,6 @@ def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.krippendorff(consensus.ratings(table(spark, sf_dir, "review_sample")))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p6_consensus": p6_consensus, "p6_reviewers": p6_reviewers, "p6_agreement": p6_agreement, "p7_found": p7_found, "p7_places": p7_places, "p7_use": p7_use, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p6_consensus": p6_consensus, "p6_reviewers": p6_reviewers, "p6_agreement": p6_agreement, "p7_found": p7_found, "p7_places": p7_places, "p7_use": p7_use, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
 
 ORACLES: dict[str, str] = {}
