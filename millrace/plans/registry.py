@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import core
+from millrace.plans import advanced, core
+
+assert advanced  # its queries register themselves on import
 
 QUERIES = {**core.QUERIES}
 ORACLES = {**core.ORACLES}
