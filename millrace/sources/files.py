@@ -32,7 +32,8 @@ def split_bad_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, quoted fields may hold line breaks; an empty field is an empty string."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, nullValue="\0", emptyValue="")
+    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+    return rows.fillna("")
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
