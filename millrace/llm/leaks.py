@@ -32,6 +32,8 @@ EDIT_SHARE = 0.05  # edits that the filter must bear, as a share of the passage'
 MARGIN = 48  # characters around a region that its alignment may use
 SCORE_SHARE = 0.8  # of an aligned passage's characters
 COVERED = 0.72  # of a passage's characters, by shared q-grams
+LOCAL = 64
+LOCAL_HITS = int(LOCAL + 1 - Q - Q * np.ceil(EDIT_SHARE * LOCAL)) - 1
 BITS = 1 << 23
 BLOCK = 20_000
 
@@ -180,6 +182,9 @@ def scan(texts: list[str], index: ItemIndex, together: int = 64) -> list[list[tu
         stream, starts = stream_of(texts[a:b])
         h = Ngrams(stream).of(Q)
         hit = np.flatnonzero(keep[(h % U64(BITS)).astype(np.int64)])
+        # Inside a passage, LOCAL characters to either side share this many q-grams with it even at the share of edits borne.
+        near = np.searchsorted(hit, hit + LOCAL, "right") - np.searchsorted(hit, hit - LOCAL, "left")
+        hit = hit[near >= LOCAL_HITS]
         low = np.searchsorted(index.hashes, h[hit], "left")
         count = np.searchsorted(index.hashes, h[hit], "right") - low
         bounds = np.searchsorted(hit, starts)
