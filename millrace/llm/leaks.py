@@ -56,6 +56,7 @@ class ItemIndex:
     streams: list[np.ndarray]
     word_ends: list[np.ndarray]
     base: np.ndarray  # where each item's offsets begin in `length`
+    least: np.ndarray  # the fewest q-grams that the lemma asks of one of its passages
     length: np.ndarray  # for each offset, the characters of the passage that begins there
     hashes: np.ndarray
     item: np.ndarray
@@ -69,10 +70,15 @@ def _word_ends(text: str) -> np.ndarray:
     return np.cumsum(lengths)
 
 
+def _lemma(characters: np.ndarray) -> np.ndarray:
+    """The q-grams that a passage of so many characters still shares after its share of edits; 8 at least."""
+    return np.maximum(8, characters + 1 - Q - Q * np.ceil(EDIT_SHARE * characters))
+
+
 def build_index(ids: list[str], texts: list[str]) -> ItemIndex:
     """Index of one block. An item whose text has fewer words than a passage must be held whole."""
     streams, ends, hs, items, offsets = [], [], [], [], []
-    base, length = np.zeros(len(ids) + 1, dtype=np.int64), []
+    base, least, length = np.zeros(len(ids) + 1, dtype=np.int64), np.zeros(len(ids)), []
     for i, t in enumerate(texts):
         s, _ = stream_of([t])
         s, e = s[:-1], _word_ends(t)
@@ -85,6 +91,7 @@ def build_index(ids: list[str], texts: list[str]) -> ItemIndex:
         whole = int((e[min(RUNNING_WORDS, len(e)) - 1]) if len(e) else 0)
         own[word + RUNNING_WORDS > len(e)] = max(whole if len(e) <= RUNNING_WORDS else 0, int(own[word + RUNNING_WORDS <= len(e)].min(initial=whole)))
         length.append(own)
+        least[i] = _lemma(own).min(initial=1 << 30)
         base[i + 1] = base[i] + len(s)
         if len(s) >= Q:
             h = Ngrams(s).of(Q)[Q - 1 :]
@@ -96,7 +103,7 @@ def build_index(ids: list[str], texts: list[str]) -> ItemIndex:
     bitmap = np.zeros(BITS, dtype=bool)
     bitmap[(h % U64(BITS)).astype(np.int64)] = True
     return ItemIndex(
-        ids, streams, ends, base, np.concatenate(length) if length else np.zeros(0, np.int64), h[order],
+        ids, streams, ends, base, least, np.concatenate(length) if length else np.zeros(0, np.int64), h[order],
         np.concatenate(items)[order] if hs else np.zeros(0, np.int64), np.concatenate(offsets)[order] if hs else np.zeros(0, np.int64), np.packbits(bitmap),
     )
 
@@ -160,8 +167,7 @@ def _candidates(item: np.ndarray, diagonal: np.ndarray, gram: np.ndarray, index:
         fresh[1:] = np.where(owner[1:] == owner[:-1], np.minimum(Q, key[1:] - key[:-1]), Q)
         covered = np.cumsum(fresh)
         size = covered[last - 1] - covered + Q
-        lemma = need + 1 - Q - Q * np.ceil(EDIT_SHARE * need)
-        enough = np.flatnonzero((last - np.arange(len(key)) >= np.maximum(8, lemma)) & (size >= COVERED * need))
+        enough = np.flatnonzero((last - np.arange(len(key)) >= _lemma(need)) & (size >= COVERED * need))
         if not len(enough):
             continue
         # Windows of the same group that follow each other are one region; its best covered window stands for it.
@@ -197,6 +203,12 @@ def scan(texts: list[str], index: ItemIndex, together: int = 64) -> list[list[tu
             which = np.repeat(low[x:y], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             at = np.repeat(hit[x:y] - starts[t] - (Q - 1), c)
             item, offset = index.item[which], index.offset[which]
+            # Items with fewer shared q-grams in the whole document than the lemma asks of any of their passages.
+            many = np.bincount(item, minlength=len(index.ids)) >= index.least
+            if not many.any():
+                continue
+            worth = many[item]
+            item, offset, at = item[worth], offset[worth], at[worth]
             for i, start, length, near, far in _candidates(item, at - offset, offset, index):
                 begin = max(0, start - MARGIN)
                 end = min(len(index.streams[i]), start + length + MARGIN)
