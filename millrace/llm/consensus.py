@@ -23,7 +23,7 @@ from millrace.session import cut_lineage
 
 DECISIONS = ("accept", "minor_revision", "reject")
 SCORES = (1, 2, 3, 4, 5)
-ROUNDS = 15
+ROUNDS = 8
 PRIOR_CLASS, PRIOR_OWN, PRIOR_OTHER, PRIOR_SCORE = 1.0, 1.5, 0.5, 1.0
 
 
