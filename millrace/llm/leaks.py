@@ -140,28 +140,47 @@ def align(items: list[np.ndarray], docs: list[np.ndarray], width: int) -> np.nda
     return np.stack([best >> 12, 4095 - (best & 4095), end], axis=1)
 
 
-def _candidates(item: np.ndarray, diagonal: np.ndarray, gram: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
-    """(item, item start, length, first diagonal, last diagonal) of each passage worth an alignment.
+def _candidates(pair: np.ndarray, diagonal: np.ndarray, gram: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
+    """(pair, item start, length, first diagonal, last diagonal) of each passage worth an alignment.
+
+    A pair is a document's number times the number of items, plus the item's; all documents of a chunk are
+    looked at together.
 
     Within a band, a passage's length of the item must share the q-grams that the lemma asks for, and
     these must cover most of the passage: an edit takes away at most the characters up to the
     next q-gram, while phrases that only share a pattern leave their changing parts uncovered.
     """
     low = int(diagonal.min())
+    items = len(index.ids)
     out = []
+    # Half bands first: only where two neighbours together have enough q-grams, repeats included, is it worth more.
+    halves = (int(diagonal.max()) - low) // (BAND // 2) + 2
+    group = pair * halves + (diagonal - low) // (BAND // 2)
+    order = np.argsort(group)
+    group = group[order]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    count, owner = np.diff(np.append(first, len(group))), group[first]
+    joined = np.append(owner[1:] == owner[:-1] + 1, False)
+    both = count + np.where(joined, np.append(count[1:], 0), 0)
+    good = both >= index.least[owner // halves % items]
+    good[1:] |= good[:-1] & joined[:-1]
+    order = order[np.repeat(good, count)]
+    if not len(order):
+        return []
+    pair, diagonal, gram = pair[order], diagonal[order], gram[order]
     for half in (0, BAND // 2):
         band = (diagonal - low + half) // BAND
         bands = int(band.max()) + 1
-        group = item * bands + band
-        order = np.argsort((group << 24) | gram, kind="stable")
-        key, diag = ((group << 24) | gram)[order], diagonal[order]
+        key = ((pair * bands + band) << 24) | gram
+        order = np.argsort(key)
+        key, diag = key[order], diagonal[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         # Of a q-gram that several places of the band share, the least and greatest diagonal.
         least, most = np.minimum.reduceat(diag, first), np.maximum.reduceat(diag, first)
         key = key[first]
         owner = key >> 24
         which = owner // bands
-        need = index.length[index.base[which] + (key & 0xFFFFFF)]
+        need = index.length[index.base[which % items] + (key & 0xFFFFFF)]
         last = np.searchsorted(key, np.minimum(key + need, (owner << 24) | 0xFFFFFF), "right")
         fresh = np.full(len(key), Q)
         fresh[1:] = np.where(owner[1:] == owner[:-1], np.minimum(Q, key[1:] - key[:-1]), Q)
@@ -189,27 +208,22 @@ def scan(texts: list[str], index: ItemIndex, together: int = 64) -> list[list[tu
         h = Ngrams(stream).of(Q)
         hit = np.flatnonzero(keep[(h % U64(BITS)).astype(np.int64)])
         # Inside a passage, LOCAL characters to either side share this many q-grams with it even at the share of edits borne.
-        near = np.searchsorted(hit, hit + LOCAL, "right") - np.searchsorted(hit, hit - LOCAL, "left")
-        hit = hit[near >= LOCAL_HITS]
+        around = np.searchsorted(hit, hit + LOCAL, "right") - np.searchsorted(hit, hit - LOCAL, "left")
+        hit = hit[around >= LOCAL_HITS]
         low = np.searchsorted(index.hashes, h[hit], "left")
         count = np.searchsorted(index.hashes, h[hit], "right") - low
-        bounds = np.searchsorted(hit, starts)
+        which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        doc = np.repeat(np.searchsorted(starts, hit, "right") - 1, count)
+        at = np.repeat(hit - (Q - 1), count) - starts[doc]
+        pair, offset = doc * len(index.ids) + index.item[which], index.offset[which]
+        # Items with fewer shared q-grams in the whole document than the lemma asks of any of their passages.
+        many = np.bincount(pair, minlength=(b - a) * len(index.ids)) >= np.tile(index.least, b - a)
+        worth = many[pair]
+        pair, offset, at = pair[worth], offset[worth], at[worth]
         jobs = []
-        for t in range(b - a):
-            x, y = bounds[t], bounds[t + 1]
-            c = count[x:y]
-            if (c > 0).sum() < 8:
-                continue
-            which = np.repeat(low[x:y], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            at = np.repeat(hit[x:y] - starts[t] - (Q - 1), c)
-            item, offset = index.item[which], index.offset[which]
-            # Items with fewer shared q-grams in the whole document than the lemma asks of any of their passages.
-            many = np.bincount(item, minlength=len(index.ids)) >= index.least
-            if not many.any():
-                continue
-            worth = many[item]
-            item, offset, at = item[worth], offset[worth], at[worth]
-            for i, start, length, near, far in _candidates(item, at - offset, offset, index):
+        if len(pair):
+            for p, start, length, near, far in _candidates(pair, at - offset, offset, index):
+                t, i = divmod(p, len(index.ids))
                 begin = max(0, start - MARGIN)
                 end = min(len(index.streams[i]), start + length + MARGIN)
                 first = max(0, begin + near - MARGIN // 2)
