@@ -172,4 +172,28 @@ def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p6_consensus": p6_consensus, "p6_reviewers": p6_reviewers, "p6_agreement": p6_agreement, "p7_found": p7_found, "p7_places": p7_places, "p7_use": p7_use, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
 
-ORACLES: dict[str, str] = {}
+_REFS = r"""
+refs as (
+    select distinct on (sample_id) sample_id, lower(trim(coalesce(split, ''))) s,
+        list_distinct(list_transform(regexp_extract_all(upper(coalesce(source_id, '')), '[A-Z]+[\s:_\x{2010}-\x{2015}-]*[0-9]{5,}'),
+            lambda m: regexp_extract(m, '^[A-Z]+') || '-' || regexp_replace(regexp_extract(m, '[0-9]+$'), '^0+', ''))) r
+    from samples),
+sides as (select sample_id, r, case when s like 'tr%' then 'train' when s like '%test%' then 'test' when s <> '' then 'val' end given from refs),
+links as (select r[1] a, unnest(r) b from sides union select unnest(r), r[1] from sides),
+walk as (select a node, a reached from links union select w.node, l.b from walk w join links l on l.a = w.reached),
+component as (select node, min(reached) c from walk group by node),
+records as (select sample_id, c, given from sides join component on node = r[1]),
+torn as (select c, count(*) n_records, count(*) filter (given = 'train') n_train, count(*) filter (given = 'val') n_val, count(*) filter (given = 'test') n_test from records group by c having count(distinct given) > 1)
+"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"with recursive {_REFS} select sample_id from records where given is not null and c in (select c from torn)",
+    "p6_agreement": r"""
+        with sides as (select id, review_round, trim(reviewer1_id) reviewer, reviewer1_final_decision d, reviewer1_clinical_plausibility s from review_sample
+            union all select id, review_round, trim(reviewer2_id), reviewer2_final_decision, reviewer2_clinical_plausibility from review_sample),
+        clean as (select distinct id, review_round, reviewer, regexp_replace(lower(trim(d)), '[-_\s]+', '_', 'g') d from sides where reviewer <> ''),
+        item as (select id, count(*) filter (d = 'accept') a, count(*) filter (d = 'minor_revision') b, count(*) filter (d = 'reject') c, count(*) m from clean
+            where d in ('accept', 'minor_revision', 'reject') group by id having count(*) > 1),
+        t as (select count(*) n_items, sum(m) n, sum((a * (a - 1) + b * (b - 1) + c * (c - 1)) / (m - 1)) same, sum(a) a, sum(b) b, sum(c) c from item)
+        select n_items, n n_ratings, 1 - (1 - same / n) / (1 - (a * (a - 1) + b * (b - 1) + c * (c - 1)) / (n * (n - 1))) alpha from t""",
+}
