@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,11 @@ from millrace.llm.textarr import U64, Ngrams, chunks, codepoints, plain
 Q = 10
 BAND = 256  # width of a band of diagonals; neighbours overlap by half
 RUNNING_WORDS = 23
+WHOLE_SHARE = 0.75  # of the aligned part's words
+WHOLE_WORDS = 22  # of these, as they are in the item
 EDIT_SHARE = 0.05  # edits that the filter must bear, as a share of the passage's characters
 MARGIN = 48  # characters around a region that its alignment may use
-SCORE_SHARE = 0.8  # of an aligned passage's characters
+SCORE_SHARE = 0.7  # of an aligned passage's characters
 COVERED = 0.72  # of a passage's characters, by shared q-grams
 LOCAL = 64
 LOCAL_HITS = int(LOCAL + 1 - Q - Q * np.ceil(EDIT_SHARE * LOCAL)) - 1
@@ -140,6 +143,24 @@ def align(items: list[np.ndarray], docs: list[np.ndarray], width: int) -> np.nda
     return np.stack([best >> 12, 4095 - (best & 4095), end], axis=1)
 
 
+def whole_words(item: np.ndarray, doc: np.ndarray, start: int, end: int, ends: np.ndarray) -> tuple[int, int]:
+    """How many words of the aligned part of the item the document part has whole, in order, and how many there are.
+
+    Matching runs of two characters or more count; `ends` has the places where the item's words end.
+    """
+    text, other = "".join(map(chr, item[start:end])), "".join(map(chr, doc))
+    same = np.zeros(end - start + 1, dtype=np.int64)
+    for block in SequenceMatcher(None, text, other, autojunk=False).get_matching_blocks():
+        if block.size > 1:
+            same[block.a + 1 : block.a + block.size + 1] = 1
+    run = np.cumsum(same)
+    inside = ends[(ends > start) & (ends <= end)] - start
+    begins = np.concatenate([[0], inside[:-1]]) if len(inside) else inside
+    if len(inside) and start > 0 and not (ends == start).any():
+        inside, begins = inside[1:], begins[1:]  # the first word is cut
+    return int((run[inside] - run[begins] == inside - begins).sum()), len(inside)
+
+
 def _candidates(pair: np.ndarray, diagonal: np.ndarray, gram: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
     """(pair, item start, length, first diagonal, last diagonal) of each passage worth an alignment.
 
@@ -226,19 +247,21 @@ def scan(texts: list[str], index: ItemIndex, together: int = 64) -> list[list[tu
                 t, i = divmod(p, len(index.ids))
                 begin = max(0, start - MARGIN)
                 end = min(len(index.streams[i]), start + length + MARGIN)
-                first = max(0, begin + near - MARGIN // 2)
-                width = far + begin - first + MARGIN // 2 + 1
-                part = stream[starts[t] + first : min(starts[t + 1] - 1, starts[t] + first + end - begin + width)]
+                first = begin + near - MARGIN // 2
+                width = far - near + MARGIN + 1
+                part = stream[starts[t] + max(0, first) : min(starts[t + 1] - 1, starts[t] + max(0, first + end - begin + width))]
+                if first < 0:  # the band begins before the document does
+                    part = np.concatenate([np.full(-first, 2, dtype=np.uint32), part])
                 jobs.append((width, a + t, i, begin, index.streams[i][begin:end], part))
         jobs.sort(key=lambda j: j[0])
         for g in range(0, len(jobs), together):
             group = jobs[g : g + together]
             aligned = align([j[4] for j in group], [j[5] for j in group], group[-1][0])
-            for (_, t, i, begin, _, _), (score, start, end) in zip(group, aligned):
-                start, end, ends = start + begin, end + begin, index.word_ends[i]
-                words = int(np.searchsorted(ends, end + 1, "right") - np.searchsorted(ends, max(start - 1, 0), "right"))
-                if words >= min(RUNNING_WORDS, len(ends)) and score >= SCORE_SHARE * (end - start):
-                    found[t][i] = max(found[t].get(i, (0, 0)), (words, int(score)))
+            for (_, t, i, begin, x, y), (score, start, end) in zip(group, aligned):
+                if score >= SCORE_SHARE * (end - start):
+                    words, among = whole_words(x, y, int(start), int(end), index.word_ends[i] - begin)
+                    if words >= max(min(WHOLE_WORDS, len(index.word_ends[i])), WHOLE_SHARE * among):
+                        found[t][i] = max(found[t].get(i, (0, 0)), (words, int(score)))
     return [[(index.ids[i], w, s) for i, (w, s) in f.items()] for f in found]
 
 
