@@ -29,8 +29,8 @@ from millrace.llm.textarr import U64, Ngrams, chunks, codepoints, plain
 Q = 10
 BAND = 256  # width of a band of diagonals; neighbours overlap by half
 RUNNING_WORDS = 23
-WHOLE_SHARE = 0.75  # of the aligned part's words
-WHOLE_WORDS = 22  # of these, as they are in the item
+WHOLE_SHARE = 0.82  # of the aligned part's words
+WHOLE_WORDS = 25  # of these, as they are in the item
 EDIT_SHARE = 0.05  # edits that the filter must bear, as a share of the passage's characters
 MARGIN = 48  # characters around a region that its alignment may use
 SCORE_SHARE = 0.7  # of an aligned passage's characters
@@ -146,12 +146,12 @@ def align(items: list[np.ndarray], docs: list[np.ndarray], width: int) -> np.nda
 def whole_words(item: np.ndarray, doc: np.ndarray, start: int, end: int, ends: np.ndarray) -> tuple[int, int]:
     """How many words of the aligned part of the item the document part has whole, in order, and how many there are.
 
-    Matching runs of two characters or more count; `ends` has the places where the item's words end.
+    Matching runs of five characters or more count; `ends` has the places where the item's words end.
     """
     text, other = "".join(map(chr, item[start:end])), "".join(map(chr, doc))
     same = np.zeros(end - start + 1, dtype=np.int64)
     for block in SequenceMatcher(None, text, other, autojunk=False).get_matching_blocks():
-        if block.size > 1:
+        if block.size > 4:
             same[block.a + 1 : block.a + block.size + 1] = 1
     run = np.cumsum(same)
     inside = ends[(ends > start) & (ends <= end)] - start
