@@ -7,8 +7,8 @@ the expectations of the logarithms being differences of digammas. The ratings ar
 once; an update of items is a sum over that layout, an update of annotators a grouped sum with partial
 aggregation, of which only one row an annotator and label remains.
 
-Items with more than the usual posterior weight on another class than the majority's come from annotators
-with a known leaning; inverted, constant and guessing annotators are recognised as such.
+An item can so get another decision than the majority's: annotators who invert, lean, repeat themselves or
+guess are recognised by their own distributions and count accordingly.
 """
 
 from __future__ import annotations

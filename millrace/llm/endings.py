@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.sentences import ABBREVIATIONS
-from millrace.llm.textarr import HAN, Ngrams, chunks, codepoints
+from millrace.llm.textarr import HAN, Ngrams, arrow_fields, chunks, codepoints
 from millrace.session import cut_lineage
 
 ORDERS = (64, 48, 32, 24, 16, 12, 8, 4)
@@ -116,16 +116,10 @@ def final_contexts(df: DataFrame, keys: list[str], group: str, text: str) -> Dat
                 schema=batch_schema,
             )
 
-    batch_schema = pa.schema([*_arrow_fields(df.select(*keys, group)), ("lang", pa.string()), ("state", pa.string()), ("contexts", pa.list_(pa.int64()))])
+    batch_schema = pa.schema([*arrow_fields(df.select(*keys, group)), ("lang", pa.string()), ("state", pa.string()), ("contexts", pa.list_(pa.int64()))])
     return df.select(*keys, group, F.col(text).alias("_text")).filter(r"_text rlike '(?U)\\S'").mapInArrow(run, schema)
 
 
-def _arrow_fields(df: DataFrame) -> list[tuple[str, pa.DataType]]:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return [(f.name, to_arrow_type(f.dataType)) for f in df.schema.fields]
-
-
 def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
     """A bitmap of fixed size (1 MB) with the hashes of `column`; a full one lets all through, which costs time only."""
     words = (

@@ -20,8 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.endings import _arrow_fields
-from millrace.llm.textarr import U64, Ngrams, chunks, codepoints, mix, plain
+from millrace.llm.textarr import U64, Ngrams, arrow_fields, chunks, codepoints, mix, plain
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "zh")
 
@@ -229,7 +228,7 @@ def detect(df: DataFrame, keys: list[str], text: str, filters: Filters) -> DataF
     element = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("sentences", T.IntegerType())])
     schema = T.StructType([*df.select(*keys).schema.fields, T.StructField("segments", T.ArrayType(element))])
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32())]))
-    arrow_schema = pa.schema([*_arrow_fields(df.select(*keys)), ("segments", arrow)])
+    arrow_schema = pa.schema([*arrow_fields(df.select(*keys)), ("segments", arrow)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.endings import _arrow_fields
-from millrace.llm.textarr import U64, Ngrams, chunks, codepoints, plain
+from millrace.llm.textarr import U64, Ngrams, arrow_fields, chunks, codepoints, plain
 
 Q = 10
 BAND = 256  # width of a band of diagonals; neighbours overlap by half
@@ -275,7 +274,7 @@ def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_
     """
     doc = docs.select(F.col(doc_key).alias("_key"), F.col(text).alias("_text")).filter("_text is not null")
     schema = T.StructType([T.StructField(doc_key, doc.schema["_key"].dataType), T.StructField("item_id", T.StringType()), T.StructField("n_words", T.IntegerType()), T.StructField("score", T.IntegerType())])
-    arrow = pa.schema([pa.field(doc_key, _arrow_fields(doc.select("_key"))[0][1]), ("item_id", pa.string()), ("n_words", pa.int32()), ("score", pa.int32())])
+    arrow = pa.schema([pa.field(doc_key, arrow_fields(doc.select("_key"))[0][1]), ("item_id", pa.string()), ("n_words", pa.int32()), ("score", pa.int32())])
     chosen = items.select(F.col(item_key).cast("string").alias("i"), F.col(item_text).alias("t")).filter(r"i is not null and t rlike '(?U)\\w'").dropDuplicates(["i"]).orderBy("i")
     parts: list[DataFrame] = []
     ids: list[str] = []

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.endings import _arrow_fields
+from millrace.llm.textarr import arrow_fields
 from millrace.session import cut_lineage
 
 CAPACITY = 2048
@@ -48,7 +48,7 @@ def _encoding(path: str):
 def count_tokens(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(key, n_tokens) of each text under the vocabulary at `tokenizer`; null texts have 0 tokens."""
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType())])
-    arrow = pa.schema([*_arrow_fields(df.select(key)), ("n_tokens", pa.int64())])
+    arrow = pa.schema([*arrow_fields(df.select(key)), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _encoding(tokenizer).encode_ordinary

@@ -23,10 +23,6 @@ from millrace.llm.sentences import paragraph_ends, sentence_ends
 _TOKENS = re.compile(r"\s+|[^\W_]+|[\W_]")
 
 
-class Piece(tuple):
-    """(start, end, kind of the cut that ends it)."""
-
-
 def _last_in(bounds: list[int], low: int, high: int) -> int:
     """The last of the sorted `bounds` in low < x <= high, or -1."""
     i = bisect_right(bounds, high) - 1

@@ -8,6 +8,9 @@ from collections.abc import Iterator, Sequence
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 U64 = np.uint64
 #: Odd multiplier of the rolling hash and the finaliser's two constants (splitmix64).
@@ -24,6 +27,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def arrow_fields(df: DataFrame) -> list[tuple[str, pa.DataType]]:
+    """Name and Arrow type of each column, for the schema of record batches that keep them."""
+    return [(f.name, to_arrow_type(f.dataType)) for f in df.schema.fields]
+
+
 def chunks(texts: Sequence[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of `texts` that hold about `limit` characters each; one long text is a range by itself."""
     start = size = 0
