@@ -257,9 +257,11 @@ def scan(texts: list[str], index: ItemIndex, together: int = 64) -> list[list[tu
             group = jobs[g : g + together]
             aligned = align([j[4] for j in group], [j[5] for j in group], group[-1][0])
             for (_, t, i, begin, x, y), (score, start, end) in zip(group, aligned):
-                if score >= SCORE_SHARE * (end - start):
-                    words, among = whole_words(x, y, int(start), int(end), index.word_ends[i] - begin)
-                    if words >= max(min(WHOLE_WORDS, len(index.word_ends[i])), WHOLE_SHARE * among):
+                ends = index.word_ends[i] - begin
+                least = min(WHOLE_WORDS, len(ends))
+                if score >= SCORE_SHARE * (end - start) and ((ends > start) & (ends <= end)).sum() >= least:
+                    words, among = whole_words(x, y, int(start), int(end), ends)
+                    if words >= max(least, WHOLE_SHARE * among):
                         found[t][i] = max(found[t].get(i, (0, 0)), (words, int(score)))
     return [[(index.ids[i], w, s) for i, (w, s) in f.items()] for f in found]
 
