@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.session import cut_lineage
+
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, block: int = 2000) -> DataFrame:
     """(query, doc, score, rank): the k largest inner products of each query, ties by key; a query isn't its own result.
@@ -76,24 +79,240 @@ def merge_candidates(hits: DataFrame, query: str, text: str, score: str, rank: s
     return merged.withColumn("merged_rank", F.row_number().over(w)).filter(F.col("merged_rank") <= most)
 
 
-def tfidf_join(held: DataFrame, train: DataFrame, key: str, text: str, n: int = 3, least: float = 0.6) -> DataFrame:
-    """(held, train, cosine): pairs of texts whose character n-gram TF-IDF vectors have a cosine of at least `least`.
+def _word_grams(word: str, sizes: tuple[int, ...]) -> np.ndarray:
+    """64-bit hashes of a word's character n-grams inside its borders; a word that is no longer than n gives one and no longer ones."""
+    w = f" {word} "
+    out = []
+    for n in sizes:
+        out += [xxhash.xxh3_64_intdigest(w[i : i + n]) for i in range(max(1, len(w) - n + 1))]
+        if len(w) <= n:
+            break
+    return np.array(out, dtype=np.uint64)
+
+
+#: Training texts and n-grams that the basis is fitted on, its dimensions, and the buckets of the second bound.
+FITTED, FEATURES, DIMENSIONS, BUCKETS = 768, 1 << 15, 256, 1 << 13
+#: Length outside the basis beyond which the second bound is kept; half-precision coordinates err by 2^-11 a side, less than SLACK in all.
+OUTSIDE, SLACK = 0.75, 2e-3
+CACHED_WORDS = 1 << 15
+ROWS = 2048
+
+
+def _counted(numbers: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in any order and how often each occurs, without sorting; `last` has a place for each number, of any content."""
+    at = np.arange(len(numbers))
+    last[numbers] = at
+    owner = last[numbers]
+    own = owner == at
+    return numbers[own], np.bincount(owner, minlength=len(numbers))[own]
+
+
+class _Weights:
+    """TF-IDF vectors over the n-grams of the training texts, and their coordinates in an orthonormal basis."""
+
+    def __init__(self, hashes: np.ndarray, idf: np.ndarray, sizes: tuple[int, ...]) -> None:
+        self.hashes, self.idf, self.sizes = hashes, idf, sizes
+        self.slot = np.full(len(hashes), -1, dtype=np.int64)
+        self.basis = np.zeros((0, 0), dtype=np.float32)
+        self.cache: dict[str, int] = {}
+        self.grams: list[np.ndarray] = []
+        self.sums = None
+        self.last = np.zeros(len(hashes), dtype=np.int64)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": {}, "grams": [], "sums": None}
 
-    Frequencies are those of `train`; n-grams that it lacks don't count. Vectors are rows (text, n-gram,
-    weight), so that the product is an equi-join and a sum. Made for short texts with distinct keys.
+    def words(self, text: str) -> list[int]:
+        """The cache's numbers of the text's words."""
+        listed = text.split()
+        if len(self.cache) + len(listed) > CACHED_WORDS:
+            self.cache, self.grams, self.sums = {}, [], None
+        width = self.basis.shape[1]
+        if self.sums is None or len(self.sums) < len(self.cache) + len(listed):
+            more = np.zeros((max(CACHED_WORDS, len(listed)), width), dtype=np.float32)
+            if self.sums is not None:
+                more[: len(self.cache)] = self.sums[: len(self.cache)]
+            self.sums = more
+        out = []
+        for w in listed:
+            i = self.cache.get(w)
+            if i is None:
+                h = _word_grams(w, self.sizes)
+                at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+                at = at[self.hashes[at] == h] if len(self.hashes) else at[:0]
+                i = self.cache[w] = len(self.grams)
+                self.grams.append(at)
+                if width:
+                    at = at[self.slot[at] >= 0]
+                    self.sums[i] = self.idf[at].astype(np.float32) @ self.basis[self.slot[at]]
+            out.append(i)
+        return out
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n-grams, weights of length 1, coordinates in the basis)."""
+        ids = self.words(text)
+        u, c = _counted(np.concatenate([self.grams[i] for i in ids]) if ids else np.zeros(0, np.int64), self.last)
+        w = c * self.idf[u]
+        norm = np.sqrt((w * w).sum()) or 1.0
+        return u, w / norm, self.sums[ids].sum(axis=0) / np.float32(norm) if ids else np.zeros(self.basis.shape[1], np.float32)
+
+    def fit(self, texts: list[str]) -> None:
+        """The main directions of some training texts within their heaviest n-grams; any orthonormal basis gives a right bound."""
+        vectors = [self.vector(t)[:2] for t in texts]
+        energy = np.zeros(len(self.hashes))
+        for u, w in vectors:
+            energy[u] += w * w
+        top = np.argsort(-energy, kind="stable")[:FEATURES]
+        top = top[energy[top] > 0]
+        slot = np.full(len(self.hashes), -1, dtype=np.int64)
+        slot[top] = np.arange(len(top))
+        x = np.zeros((len(vectors), len(top)), dtype=np.float32)
+        for i, (u, w) in enumerate(vectors):
+            ok = slot[u] >= 0
+            x[i, slot[u[ok]]] = w[ok]
+        values, directions = np.linalg.eigh((x @ x.T).astype(np.float64))
+        keep = np.flatnonzero(values > 1e-3 * values.max(initial=0))[-DIMENSIONS:]
+        self.basis = (x.T @ (directions[:, keep] / np.sqrt(values[keep])).astype(np.float32)).astype(np.float32)
+        self.slot, self.cache, self.grams, self.sums = slot, {}, [], None
+
+
+def _lengths(buckets: list[bytes], width: int) -> np.ndarray:
+    """Dense bucket lengths of the rows that have them."""
+    out = np.zeros((len(buckets), width), dtype=np.float32)
+    for i, b in enumerate(buckets):
+        at, length = np.split(np.frombuffer(b, dtype=np.uint16), 2)
+        out[i, at] = length.view(np.float16)
+    return out
+
+
+def tfidf_join(held: DataFrame, train: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (3, 4, 5), least: float = 0.75, k: int = 5, block: int = 1 << 14) -> DataFrame:
+    """(held, train, cosine, rank): for each held row the k training rows with the largest cosine of at least `least`.
+
+    The vectors are TF-IDF of character n-grams inside word borders, in lower case; frequencies are those of
+    all `train` rows, n-grams that these lack don't count. Ties go by key. The result is exact: for x = Px + r
+    with a projection P, the product of two vectors of length 1 is at most Px.Py + |r||s|, and at most the
+    product of their lengths within buckets of n-grams; pairs that either bound leaves under `least` are
+    dropped, the others are computed. All pairs of different texts go through the first bound, as a product
+    of dense matrices: held texts in blocks to all tasks, training texts in batches. So the work grows with
+    the product of both sides.
     """
-    def grams(df: DataFrame) -> DataFrame:
-        t = df.select(F.col(key).alias("k"), F.concat(F.lit(" "), F.lower(text), F.lit(" ")).alias("t")).filter(F.length("t") >= n)
-        g = t.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i: F.substring("t", i, F.lit(n)))).alias("g"))
-        return g.groupBy("k", "g").agg(F.count("*").alias("tf"))
+    sc = held.sparkSession.sparkContext
+
+    def side(df: DataFrame) -> DataFrame:
+        t = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
+        return df.select(F.col(key).alias("id"), t.alias("t")).withColumn("class", F.xxhash64("t"))
 
-    a, b = grams(held), grams(train)
-    size = train.filter(F.length(text) + 2 >= n).select(F.countDistinct(key).alias("n")).first()[0]
-    idf = b.groupBy("g").agg((F.log((1.0 + size) / (1.0 + F.count("*"))) + 1).alias("idf"))
+    # The texts are written once each; the keys, without texts, apart from them.
+    a, b = (cut_lineage(side(df).select("id", "class").dropDuplicates(["id"])) for df in (held, train))
+    size = b.count()
+    once = lambda df, ids: side(df).filter("t <> ''").groupBy("class").agg(F.first("t").alias("t")).join(ids.groupBy("class").agg(F.count("*").alias("n")), "class")
+    ha, hb = cut_lineage(once(held, a)), cut_lineage(once(train, b))
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[int, int] = {}
+        own: dict[str, np.ndarray] = {}
+        total, last = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
+        for batch in batches:
+            for t, n in zip(batch.column("t").to_pylist(), batch.column("n").to_pylist()):
+                if len(own) > CACHED_WORDS:
+                    own.clear()
+                words = set(t.split())
+                for w in words:
+                    if w not in own:
+                        own[w] = np.array([number.setdefault(h, len(number)) for h in _word_grams(w, sizes).tolist()], dtype=np.int64)
+                if len(number) > len(total):
+                    total = np.concatenate([total, np.zeros(len(number), dtype=np.int64)])
+                    last = np.zeros(len(total), dtype=np.int64)
+                total[_counted(np.concatenate([own[w] for w in words]), last)[0]] += n
+        h = np.array(list(number), dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(total[: len(h)])], ["h", "n"])
+
+    counted = hb.select("t", "n").mapInArrow(frequencies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toPandas()
+    h = counted["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    weights = _Weights(h[order], np.log((1.0 + size) / (1.0 + counted["n"].to_numpy(dtype=np.float64)[order])) + 1, sizes)
+    weights.fit([r.t for r in hb.orderBy(F.xxhash64(F.lit(7), "t")).limit(FITTED).select("t").collect()])
+    shared = sc.broadcast(weights)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            zs, buckets = [], []
+            for t in batch.column("t").to_pylist():
+                u, w, z = own.vector(t)
+                rest = np.sqrt(max(0.0, 1.0 - float((z * z).sum()))) if len(u) else 0.0
+                zs.append(np.append(z, np.float32(rest)).astype(np.float16).tobytes())
+                if rest > OUTSIDE:
+                    squares = np.bincount((own.hashes[u] % np.uint64(BUCKETS)).astype(np.int64), w * w, BUCKETS)
+                    at = np.flatnonzero(squares)
+                    buckets.append(at.astype(np.uint16).tobytes() + np.sqrt(squares[at]).astype(np.float16).tobytes())
+                else:
+                    buckets.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(zs, pa.binary()), pa.array(buckets, pa.binary())], ["class", "z", "buckets"])
+
+    form = "class long, z binary, buckets binary"
+    left, right = (cut_lineage(df.select("class", "t").mapInArrow(project, form)) for df in (ha, hb))
+
+    def matrix(z: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(z), dtype=np.float16).reshape(len(z), -1).astype(np.float32)
+
+    parts: list[DataFrame] = []
+    rows: list = []
+
+    def close() -> None:
+        taken = sc.broadcast((np.array([r[0] for r in rows], dtype=np.int64), matrix([r[1] for r in rows]), [None if r[2] is None else bytes(r[2]) for r in rows]))
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, x, far = taken.value
+            for batch in batches:
+                for s in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(s, ROWS)
+                    y, other, own = matrix(part.column("z").to_pylist()), part.column("class").to_numpy(), part.column("buckets").to_pylist()
+                    cols = np.array([i for i, v in enumerate(own) if v is not None], dtype=np.int64)
+                    dense = _lengths([own[i] for i in cols], BUCKETS)
+                    place = np.full(len(own), -1, dtype=np.int64)
+                    place[cols] = np.arange(len(cols))
+                    for g in range(0, len(ids), ROWS):
+                        i, j = np.nonzero(x[g : g + ROWS] @ y.T >= least - SLACK)
+                        lines = np.array([v for v in range(g, min(g + ROWS, len(ids))) if far[v] is not None], dtype=np.int64)
+                        if len(lines) and len(cols):
+                            most = _lengths([far[v] for v in lines], BUCKETS) @ dense.T
+                            line = np.full(ROWS, -1, dtype=np.int64)
+                            line[lines - g] = np.arange(len(lines))
+                            both = (line[i] >= 0) & (place[j] >= 0)
+                            ok = ~both
+                            ok[both] = most[line[i[both]], place[j[both]]] >= least - SLACK
+                            i, j = i[ok], j[ok]
+                        if len(i):
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[g + i]), pa.array(other[j])], ["a", "b"])
+
+        parts.append(right.mapInArrow(bound, "a long, b long"))
+        rows.clear()
+
+    for r in left.toLocalIterator():
+        rows.append(r)
+        if len(rows) == block:
+            close()
+    if rows or not parts:
+        close()
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    both = cut_lineage(pairs).join(ha.select(F.col("class").alias("a"), F.col("t").alias("ta")), "a").join(hb.select(F.col("class").alias("b"), F.col("t").alias("tb")), "b")
 
-    def weighted(df: DataFrame) -> DataFrame:
-        w = df.join(idf, "g").withColumn("w", F.col("tf") * F.col("idf"))
-        return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("k"))))
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            out = []
+            for s, t in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
+                (u, w, _), (v, x, _) = own.vector(s), own.vector(t)
+                _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+                out.append(float((w[i] * x[j]).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "cosine"])
 
-    x, y = weighted(a).select(F.col("k").alias("held"), "g", F.col("w").alias("wx")), weighted(b).select(F.col("k").alias("train"), "g", F.col("w").alias("wy"))
-    return x.join(y, "g").groupBy("held", "train").agg(F.sum(F.col("wx") * F.col("wy")).alias("cosine")).filter(F.col("cosine") >= least)
+    near = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, cosine double").filter(F.col("cosine") >= least - 1e-12)
+    # Of a text that many training rows have, k are enough.
+    few = b.withColumn("_r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).filter(F.col("_r") <= k).select(F.col("class").alias("b"), F.col("id").alias("train"))
+    order_by = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "train")
+    best = near.join(few, "b").withColumn("rank", F.row_number().over(order_by)).filter(F.col("rank") <= k)
+    return best.join(a.select(F.col("class").alias("a"), F.col("id").alias("held")), "a").select("held", "train", "cosine", "rank")

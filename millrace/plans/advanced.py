@@ -52,10 +52,10 @@ def hit_at_k(spark, d):
 
 @query()
 def neardup_tfidf(spark, d):
-    """Answers of evaluation samples against those of training samples by n-gram cosine, each text once."""
-    s = samples(spark, d).select(_side().alias("side"), F.lower("final_answer").alias("t")).filter("t is not null")
-    held, train = (s.filter(F.col("side") == x).select("t").distinct().withColumn("k", F.col("t")) for x in ("held", "train"))
-    return V.tfidf_join(held, train, "k", "t").select("held", "train", F.round("cosine", 6).alias("cosine"))
+    """For each evaluation sample the five training samples with the nearest contexts, by n-gram cosine of 0.75 or more."""
+    s = table(spark, d, "samples").select("sample_id", "patient_context", _side().alias("side"))
+    held, train = (s.filter(F.col("side") == x) for x in ("held", "train"))
+    return V.tfidf_join(held, train, "sample_id", "patient_context").select("held", "train", "rank", F.round("cosine", 6).alias("cosine"))
 
 
 # ---- scoring

@@ -141,6 +141,46 @@ def test_tfidf_join_finds_equal_texts(spark):
     assert [(r.held, r.train) for r in got] == [("h", "a")] and got[0].cosine == pytest.approx(1.0)
 
 
+def test_tfidf_join_against_brute_force(spark):
+    def grams(t):
+        out = {}
+        for word in t.lower().split():
+            w = f" {word} "
+            for n in (3, 4, 5):
+                for i in range(max(1, len(w) - n + 1)):
+                    out[w[i : i + n]] = out.get(w[i : i + n], 0) + 1
+                if len(w) <= n:
+                    break
+        return out
+
+    rng = random.Random(6)
+    listed = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(60)] + ["".join(rng.choice("咳发热痛肝肾肺心") for _ in range(12)) for _ in range(20)]
+    train = [(i, " ".join(rng.choice(listed) for _ in range(rng.randrange(3, 30)))) for i in range(80)] + [(900, None), (901, "")]
+    train += [(200 + i, train[3][1].upper()) for i in range(7)]
+    held = [(1000 + i, " ".join(w for w in train[i][1].split() if rng.random() < 0.85)) for i in range(40)] + [(2000, None), (2001, "zzzz")]
+    count = {}
+    for _, t in train:
+        for g in grams(t or ""):
+            count[g] = count.get(g, 0) + 1
+    idf = {g: math.log((1 + len(train)) / (1 + n)) + 1 for g, n in count.items()}
+
+    def vector(t):
+        v = {g: c * idf[g] for g, c in grams(t or "").items() if g in idf}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {g: x / norm for g, x in v.items()}
+
+    vectors = [(j, vector(t)) for j, t in train]
+    expected = {}
+    for i, t in held:
+        x = vector(t)
+        scores = sorted((-round(sum(w * y.get(g, 0) for g, w in x.items()), 9), j) for j, y in vectors)
+        expected |= {(i, j): (-s, r) for r, (s, j) in enumerate(scores[:5], 1) if -s >= 0.75}
+    frames = (spark.createDataFrame(rows, "k long, t string") for rows in (held + held[:2], train))
+    got = {(r.held, r.train): (r.cosine, r.rank) for r in V.tfidf_join(*frames, "k", "t", block=16).collect()}
+    assert got.keys() == expected.keys() and len({j for _, j in got}) > 20
+    assert all(r == expected[p][1] and c == pytest.approx(expected[p][0], abs=1e-8) for p, (c, r) in got.items())
+
+
 def test_claim_history_quotas(spark):
     units = [("x", i, k, s, f"{k}{i}") for i, (k, s) in enumerate([("O", 0.1), ("O", 0.9), ("W", 0.0), ("C", 0.2), ("C", 0.2), ("C", 0.2)])]
     got = {r.pos: r.premise for r in C.claim_history(spark.createDataFrame(units, "id string, pos int, kind string, score double, text string"), "id", "pos", "kind", "score", "text").collect()}
