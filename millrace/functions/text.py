@@ -34,6 +34,12 @@ def canonical(c: Column) -> Column:
     return squeeze(F.regexp_replace(plain, r"(?m)^\s*(?:\d+[.)]|[-*])\s+", ""))
 
 
+def similarity_text(c: Column) -> Column:
+    """For similarity of sequences: lower case, curly quotes as ASCII, numbers of list items dropped, white space collapsed; null stays null."""
+    plain = F.translate(F.lower(c), "‘’“”", "''\"\"")
+    return squeeze(F.regexp_replace(plain, r"(?U)(?<!\w)\d{1,2}\s*[.)](?=\s+[a-z])", " "))
+
+
 def first_non_empty(*cs: Column) -> Column:
     """The first column whose trimmed text isn't empty; null if none is."""
     return F.coalesce(*(F.nullif(strip(c.cast("string")), F.lit("")) for c in cs))

@@ -257,8 +257,8 @@ def bipartite_match(spark, d):
 
 @query()
 def sequence_similarity(spark, d):
-    """Matching-block similarity of both answers of each pair."""
-    return pairs(spark, d).select("id", P.sequence_similarity(F.col("final_answer"), F.col("negative_final_answer")).alias("ratio"))
+    """Matching-block similarity of each pair's whole reasoning and its rewritten one, in canonical form; 0 where either is null."""
+    return pairs(spark, d).select("id", P.sequence_similarity(X.similarity_text(F.col("reasoning")), X.similarity_text(F.col("negative_reasoning"))).alias("ratio"))
 
 
 @query(f"""select dataset_name, count(*) n, count(*) filter (patient_context is null or trim(patient_context) = '') no_context, count(*) filter (retrieved_evidence is null or trim(retrieved_evidence) = '') no_evidence,

@@ -187,6 +187,18 @@ def test_claim_history_quotas(spark):
     assert got == {3: "O0 W2", 4: "O0 W2 C3", 5: "O0 W2 C4"}
 
 
+def test_sequence_similarity_compares_canonical_reasoning(spark, tmp_path):
+    from millrace.plans.registry import QUERIES
+
+    assert one(spark, X.similarity_text(F.col("c")), c=" 1. The “Liver”\n 12) isn’t 3.5 cm; see (2) here. 4. Then") == 'the "liver" isn\'t 3.5 cm; see ( here. then'
+    long = "The patient’s fever began. " * 12
+    rows = [("a", long, long.upper().replace("’", "'"), "x", "y"), ("b", "1. abcd", "bcde", "x", "x"), ("c", "abcd", None, "x", "x")]
+    df = spark.createDataFrame(rows, "id string, reasoning string, negative_reasoning string, final_answer string, negative_final_answer string").withColumn("ingested_at", F.lit(0))
+    df.union(df).write.parquet(f"{tmp_path}/negative_pair.parquet")
+    got = {r.id: r.ratio for r in QUERIES["sequence_similarity"](spark, str(tmp_path)).collect()}
+    assert got == {"a": 1.0, "b": pytest.approx(0.75), "c": 0.0}
+
+
 def test_drop_contained(spark):
     df = spark.createDataFrame([("g", 0, 10), ("g", 2, 5), ("g", 0, 10), ("g", 8, 12), ("h", 2, 5)], "g string, s int, e int")
     assert {(r.g, r.s, r.e) for r in P.drop_contained(df, "g", "s", "e").collect()} == {("g", 0, 10), ("g", 8, 12), ("h", 2, 5)}
