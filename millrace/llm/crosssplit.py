@@ -31,26 +31,24 @@ from millrace.session import cut_lineage
 SLOTS = 1 << 20
 CHUNK = 1 << 14
 BITS = 1 << 26
-#: A text of n words is cut into n // PER_SEGMENT + 1 segments or more; see `segments_needed`.
-PER_SEGMENT = 14
 SHIFT = 48  # words by which one more sentence, or a moved one, displaces the rest
-LENGTHS = (4, 5, 6, 7)
-#: One in so many of the segments taken must match.
-MATCHES = 3
+LENGTHS = (3, 4, 5)
+
+
+def edits_borne(n: np.ndarray) -> np.ndarray:
+    """The most edits that `near` allows between a text of n words and any other."""
+    longest = n + n // 7 + 2  # a near text has no more words than this
+    return longest // 8 + (longest >= 16)
 
 
 def segment_length(n: np.ndarray) -> np.ndarray:
-    """Words of a segment of a text of n words; 0 for texts that are only compared as a whole."""
-    return np.select([n >= 56, n >= 24, n >= 10, n >= 8], [7, 6, 5, 4], 0)
+    """Words of a segment of a text of n words, so that one more than the edits borne fit; 0 for texts that are only compared as a whole."""
+    return np.where(n >= 8, np.clip(n // (edits_borne(n) + 1), 3, 5), 0)
 
 
 def segments_needed(n: int) -> int:
-    """How many segments a text of n words takes.
-
-    They are chosen among the segments that training texts have at all. A segment that an edit hit is hardly
-    ever one of these, so that the segments taken are those between the edits.
-    """
-    return max(n // PER_SEGMENT, min(n // 8, 3)) + 1
+    """How many segments a text of n words takes: one more than the edits borne, so that one stands unchanged in every near text."""
+    return int(edits_borne(np.array(n))) + 1
 
 
 def classes_of(df: DataFrame, key: str, split: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -188,12 +186,12 @@ def _segment_batch(batch: pa.RecordBatch, n: np.ndarray, row: list | np.ndarray,
     )
 
 
-def held_segments(held: DataFrame, frequency: np.ndarray, present: np.ndarray) -> DataFrame:
-    """The segments that each evaluation class takes: disjoint, rarest first, the leftmost of equally rare ones.
+def held_segments(held: DataFrame, frequency: np.ndarray) -> DataFrame:
+    """The segments that each evaluation class takes: of those that follow each other without a gap, the rarest ones.
 
-    Those that no training text has, as the edited ones, can't match and are passed over.
+    Their number doesn't depend on how rare they are, nor on whether training texts have them.
     """
-    shared = held.sparkSession.sparkContext.broadcast((frequency, present))
+    shared = held.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,24 +202,16 @@ def held_segments(held: DataFrame, frequency: np.ndarray, present: np.ndarray) -
             rows, places, hashes = [], [], []
             for q in LENGTHS:
                 row, pos, h = w.of(q, lengths == q)
-                there = _known(shared.value[1], h)
-                row, pos, h = row[there], pos[there], h[there]
-                often = shared.value[0][(h >> U64(20)).astype(np.int64) & (SLOTS - 1)]
+                tile = pos % q == 0
+                row, pos, h = row[tile], pos[tile], h[tile]
+                often = shared.value[(h >> U64(20)).astype(np.int64) & (SLOTS - 1)]
                 order = np.lexsort((pos, often, row))
                 edges = np.searchsorted(row, np.arange(len(w.n) + 1))
                 for r in np.flatnonzero(lengths == q):
-                    need = segments_needed(int(w.n[r]))
-                    free = np.ones(int(w.n[r]), dtype=bool)
-                    for i in order[edges[r] : edges[r + 1]]:
-                        p = pos[i]
-                        if free[p] and free[p + q - 1]:
-                            free[p : p + q] = False
-                            rows.append(r)
-                            places.append(p)
-                            hashes.append(h[i])
-                            need -= 1
-                            if not need:
-                                break
+                    take = order[edges[r] : edges[r + 1]][: segments_needed(int(w.n[r]))]
+                    rows += [r] * len(take)
+                    places += pos[take].tolist()
+                    hashes += h[take].tolist()
             yield _segment_batch(batch, w.n, rows, places, np.array(hashes, dtype=U64))
 
     return held.mapInArrow(run, _SEGMENT)
@@ -324,23 +314,15 @@ def near_classes(classes: DataFrame) -> DataFrame:
         return np.concatenate([w.of(q, lengths == q)[2] for q in LENGTHS])
 
     asked_for = _bitmap(held, asked)
-    shared = classes.sparkSession.sparkContext.broadcast(asked_for)
-
-    def answered(batch: pa.RecordBatch) -> np.ndarray:
-        w = _Windows(batch)
-        every = np.concatenate([w.of(q, _searched(w.n, q))[2] for q in LENGTHS])
-        return every[_known(shared.value, every)]
-
     frequency = _frequencies(train, asked_for)
-    left = cut_lineage(held_segments(held, frequency, _bitmap(train, answered)))
+    left = cut_lineage(held_segments(held, frequency))
     taken = _bitmap(left.select("h"), lambda batch: np.asarray(batch.column("h")).view(U64))
     right = train_segments(train, taken)
     reach = F.greatest(F.lit(SHIFT), F.expr("n div 8 + 1"))
     a = left.select(F.col("class").alias("held"), "h", F.col("pos").alias("p"), "n", "taken", reach.alias("reach"))
     b = right.select(F.col("class").alias("train"), "h", F.col("pos").alias("p2"), F.col("n").alias("n2"))
     pairs = a.join(b, "h").filter("held <> train and abs(p - p2) <= reach and abs(n - n2) <= reach")
-    # A near copy has nearly all segments that were taken, as these are unedited ones; a third must match.
-    pairs = pairs.groupBy("held", "train").agg(F.count("*").alias("matches"), F.first("taken").alias("taken")).filter(f"matches * {MATCHES} >= taken").select("held", "train")
+    pairs = pairs.select("held", "train").distinct()
     both = pairs.join(own.select(F.col("class").alias("held"), F.col("tokens").alias("a")), "held").join(own.select(F.col("class").alias("train"), F.col("tokens").alias("b")), "train")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,6 +111,28 @@ def test_near_pairs_against_brute_force(spark):
     assert got == expected | {(903, 904)}
 
 
+def test_near_copies_whose_edits_others_share(spark):
+    rng = random.Random(12)
+    listed = [f"w{i}" for i in range(4000)]
+    rows, expected = [], set()
+    for f in range(12):
+        plain = [rng.choice(listed) for _ in range(140)]
+        edited = list(plain)
+        for i in range(rng.randrange(9), 140, 9):  # one word in nine
+            edited[i] = rng.choice(listed)
+        rows += [(f, "val", " ".join(edited)), (100 + f, "train", " ".join(edited) + " end"), (200 + f, "train", " ".join(plain))]
+        expected |= {(f, 100 + f), (f, 200 + f)}
+    got = {(r.held_id, r.train_id) for r in N.cross_split_overlaps(spark.createDataFrame(rows, "sample_id long, split string, patient_context string")).collect()}
+    assert got == expected
+
+
+def test_one_segment_more_than_the_edits_fits():
+    for n in range(8, 2000):
+        most = max(m for m in range(n, 2 * n + 4) if m - n <= m // 8 + (m >= 16))
+        assert N.segments_needed(n) > most // 8 + (most >= 16)
+        assert N.segments_needed(n) <= n // int(N.segment_length(np.array([n]))[0])
+
+
 def test_banded_distance():
     rng = random.Random(1)
     for _ in range(80):
