@@ -133,6 +133,12 @@ def test_one_segment_more_than_the_edits_fits():
         assert N.segments_needed(n) <= n // int(N.segment_length(np.array([n]))[0])
 
 
+def test_segments_do_not_depend_on_training_texts(spark):
+    rows = [(n, list(range(n))) for n in (8, 14, 30, 140)]
+    taken = N.held_segments(spark.createDataFrame(rows, "class long, tokens array<int>"), np.zeros(N.SLOTS, dtype=np.int32)).groupBy("class").count().collect()
+    assert {r["class"]: r["count"] for r in taken} == {n: N.segments_needed(n) for n, _ in rows}
+
+
 def test_banded_distance():
     rng = random.Random(1)
     for _ in range(80):
