@@ -177,27 +177,39 @@ def judge_endings(df: DataFrame, keys: list[str], group: str, text: str, support
 
     A text is truncated if it breaks inside a character or entity, or ends where a sentence can't; texts
     that close with a full stop or with known furniture are complete; for the others the log-odds at the
-    longest context seen at least `support` times decide. `thresholds` has the log-odds below which a
+    longest context seen at least `support` times, in other texts than its copies, decide. Without such a
+    context, the counts at the shortest one and the odds among the supported texts of the same group and
+    language do. `thresholds` has the log-odds below which a
     text counts as truncated, by (group, lang); 0, end and continuation equally likely, where it names
     none. Null and blank texts give no row, an empty table none; repeated rows of the same keys give one
     row; only the named columns are read.
     """
     finals = cut_lineage(final_contexts(df, keys, group, text).dropDuplicates([*keys, group]))
     asked = finals.filter("state = 'open'")
-    ends = finals.select(F.explode("contexts").alias("h")).groupBy("h").agg(F.count("*").alias("ended"))
+    # Copies are one piece of evidence: the longest context stands for the text's end.
+    tails = finals.select(F.try_element_at("contexts", F.lit(1)).alias("tail"), "contexts").dropDuplicates(["tail"])
+    ends = tails.select(F.explode("contexts").alias("h")).groupBy("h").agg(F.count("*").alias("ended"))
     wanted = _bitmap(asked.select(F.explode("contexts").alias("h")), "h")
-    going = continuations(df, text, wanted)
+    going = continuations(df.select(text).distinct(), text, wanted)
     need = asked.select(F.explode("contexts").alias("h")).distinct()
     model = need.join(ends, "h", "left").join(going, "h", "left").select("h", F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("n", F.lit(0)).alias("went_on"))
     scored = (
         asked.select(*keys, group, "lang", F.posexplode("contexts").alias("pos", "h"))
         .join(model, "h")
+        .withColumn("ended", F.greatest(F.col("ended") - 1, F.lit(0)))  # the text's own end and its copies' tell nothing
         .withColumn("fits", (F.col("ended") + F.col("went_on") >= support))
         .groupBy(*keys, group, "lang")
         .agg(
-            F.min_by(F.struct("ended", "went_on"), F.when(F.col("fits"), F.col("pos")).otherwise(F.col("pos") + 100)).alias("at"),
+            F.min_by(F.struct("ended", "went_on"), F.when(F.col("fits"), F.col("pos")).otherwise(200 - F.col("pos"))).alias("at"),
+            F.max("fits").alias("fits"),
         )
-        .select(*keys, group, "lang", F.log((F.col("at.ended") + 0.5) / (F.col("at.went_on") + 0.5)).alias("odds"), "at")
+        .withColumn("odds", F.log((F.col("at.ended") + 0.5) / (F.col("at.went_on") + 0.5)))
+    )
+    scored = cut_lineage(scored)
+    # Without enough evidence: the shortest context's counts, and the odds among the supported open texts of its kind.
+    prior = scored.filter("fits").groupBy(F.col(group).alias("_g"), F.col("lang").alias("_l")).agg(F.log((F.count_if(F.col("odds") >= 0) + 0.5) / (F.count_if(F.col("odds") < 0) + 0.5)).alias("_prior"))
+    scored = scored.join(F.broadcast(prior), F.col(group).eqNullSafe(F.col("_g")) & (F.col("lang") == F.col("_l")), "left").select(
+        *keys, group, "lang", F.when(F.col("fits"), F.col("odds")).otherwise(F.col("odds") + F.coalesce("_prior", F.lit(0.0))).alias("odds"), "at"
     )
     known = finals.filter("state <> 'open'").select(
         *keys, group, "lang", F.when(F.col("state") == "closed", F.lit(float("inf"))).otherwise(F.lit(float("-inf"))).alias("odds"),

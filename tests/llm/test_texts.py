@@ -29,6 +29,19 @@ def test_endings(spark):
     assert E.judge_endings(spark.createDataFrame([], "k string, g string, t string"), ["k"], "g", "t").count() == 0
 
 
+def test_copies_are_no_evidence_of_an_ending(spark):
+    rng = random.Random(8)
+    rows = [(str(i), "f", " ".join(sentence(rng) for _ in range(4)) + " The patient history told it") for i in range(30)]
+    rows += [(str(100 + i), "f", " ".join(sentence(rng) for _ in range(4)) + " Seen by the patient histology " + rng.choice(WORDS) + ".") for i in range(30)]
+    cut = sentence(rng) + " Tremor and sweat, then rash and pulse, for which the patient hist"
+    rows += [(f"cut{i}", "f", cut) for i in range(12)]
+    got = {r.k: r.truncated for r in E.judge_endings(spark.createDataFrame(rows, "k string, g string, t string"), ["k"], "g", "t").collect()}
+    assert {k for k, v in got.items() if v} == {f"cut{i}" for i in range(12)}
+    lone = [(str(i), "f", " ".join(sentence(rng) for _ in range(3)) + " The patient hist") for i in range(5)] + [(f"full{i}", "f", sentence(rng) * 2 + " The patient history.") for i in range(20)] + [("odd", "f", sentence(rng) + " qzxv")]
+    got = {r.k: r.truncated for r in E.judge_endings(spark.createDataFrame(lone, "k string, g string, t string"), ["k"], "g", "t").collect()}
+    assert got["odd"] and not got["full0"]
+
+
 def test_defect_kinds():
     asked = D.Prompt("A man of 45 years presents with fever and a cough after a trial of lithium for two weeks at home.")
     assert D.defect_of(asked, None) == D.defect_of(asked, " ​") == D.defect_of(asked, "N/A") == "empty"
