@@ -1,130 +1,189 @@
 """Problem 3: records of evaluation splits that also stand, exactly or nearly, in the training split.
 
-Method: edit-distance segment join, with words as the units of editing. An evaluation text is cut into
-disjoint segments, of which some stand unchanged in a near copy; training
-texts are searched for the segments at the positions that the edits, and one sentence more, less or moved,
-allow; candidates are verified with banded dynamic programming.
-
-Any disjoint segments serve, so each evaluation text takes its rarest ones: a fixed-size sketch of
-the frequencies of training segments goes to all tasks. Only training positions whose segment a bitmap of
-fixed size knows as taken are shuffled, not all of them. Both may only cost time when they fill up.
-Equal texts, beyond layout and notation, are one class first: pairs are found between classes and
-expanded to records at the end.
+Method: edit-distance segment join, with words as the units of editing. An evaluation text whose near copies
+bear k edits is cut into k + 1 segments, of which at least one stands unchanged in each of them; training texts
+are searched for the segments at the positions that the edits, and one sentence more, less or moved, allow, and
+candidates are verified with banded dynamic programming.
+
+A matching segment alone says little where texts are made of stock sentences. More is known of a near copy:
+read round the text, one of its unchanged segments has at most one edit in the next segment and at most two in
+the next two, or else the edits would add up to more than k. Each segment therefore carries a fingerprint of the
+sixteen words that follow it, and the join's own condition compares fingerprints; pairs are then held against
+each other by bitmaps of their words. No pair within the bounds is lost by any of this: fingerprints and bitmaps
+err to the side of letting through, at every size, and the bitmap that spares positions the shuffle costs time
+and no result when it fills up. Segments that many evaluation texts have are salted.
+
+Equal texts, beyond layout and notation, are one class first: links are found between classes, and a class's
+members are listed once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.components import split_name
-from millrace.llm.textarr import U64, Ngrams, words
-from millrace.session import cut_lineage
+from millrace.llm.textarr import HAN, U64, Ngrams, mix, plain
+from millrace.session import stored
 
-SLOTS = 1 << 20
-CHUNK = 1 << 14
-BITS = 1 << 26
-SHIFT = 48  # words by which one more sentence, or a moved one, displaces the rest
-LENGTHS = (3, 4, 5)
+CHUNK = 1 << 17  # bits of a bitmap that are merged together
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
+AHEAD = 16  # words after a segment of which it carries a fingerprint of four bits each
+BAG = 4  # words of 64 bits of a text's bitmap of words
+HOT = 2000  # a segment is hot from this part of all segments on, so that there are at most so many hot ones
+BLOCK_SHARE = 0.4  # of the longer text: no sentence that is more, less or moved is longer
 
+_TOKEN = re.compile(rf"[{HAN}]|[^\W_{HAN}]+|[。!?]|\.(?=[\"'”’»)\]]*(?:\s|$))|\n")
+_STOPS = frozenset("。!?.\n")
 
-def edits_borne(n: np.ndarray) -> np.ndarray:
-    """The most edits that `near` allows between a text of n words and any other."""
-    longest = n + n // 7 + 2  # a near text has no more words than this
-    return longest // 8 + (longest >= 16)
+
+def edits_borne(n: np.ndarray | int) -> np.ndarray:
+    """k: the edits borne by two texts the shorter of which has n words, about one word in eight."""
+    n = np.asarray(n)
+    return n // 8 + (n >= 16)
+
+
+def slack(n: np.ndarray | int) -> np.ndarray:
+    """The edits borne besides a sentence that is more, less or moved."""
+    return edits_borne(n) // 4 + (np.asarray(n) >= 16)
 
 
 def segment_length(n: np.ndarray) -> np.ndarray:
-    """Words of a segment of a text of n words, so that one more than the edits borne fit; 0 for texts that are only compared as a whole."""
-    return np.where(n >= 8, np.clip(n // (edits_borne(n) + 1), 3, 5), 0)
+    """Words of each of the k + 1 segments of a text of n words; 0 for texts that bear no edit, which are only compared as a whole."""
+    k = edits_borne(n)
+    return np.where(k > 0, n // (k + 1), 0)
+
+
+def tokens_of(text: str) -> tuple[list[str], int]:
+    """Words of the plain text, each Han character one, and the words of its longest sentence."""
+    out: list[str] = []
+    longest = begin = 0
+    for x in _TOKEN.findall(plain(text)):
+        if x in _STOPS:
+            longest = max(longest, len(out) - begin)
+            begin = len(out)
+        else:
+            out.append(x)
+    return out, max(longest, len(out) - begin)
+
 
+def bag_of(tokens: np.ndarray) -> list[int]:
+    """Bitmap of a text's words, as BAG signed 64-bit numbers."""
+    bits = np.zeros(64 * BAG, dtype=np.uint8)
+    bits[(mix(tokens.astype(U64)) % U64(64 * BAG)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
 
-def segments_needed(n: int) -> int:
-    """How many segments a text of n words takes: one more than the edits borne, so that one stands unchanged in every near text."""
-    return int(edits_borne(np.array(n))) + 1
+
+_BAG = [f"bag{i}" for i in range(BAG)]
 
 
 def classes_of(df: DataFrame, key: str, split: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): (id, part, class) of each record of a split with text, and (class, tokens, train, held) of each class.
+    """(members, classes): (id, part, class) of each record of a split with text, and each class's words.
 
     A key that is delivered twice counts once. Null, blank and wordless texts and records without a
-    split are left out. The class is the least id of those with the same words.
+    split are left out. The class is the least id of those with the same words. Classes have `tokens` (hashes
+    of the words), `reach` (how far one sentence displaces the rest), the bitmap of their words, and
+    whether `train` and `held` records are among them.
     """
     own = df.select(F.col(key).cast("long").alias("id"), split_name(F.col(split)).alias("part"), F.col(text).alias("_text")).filter("id is not null and part is not null and _text is not null")
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("part", T.StringType()), T.StructField("same", T.StringType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
-    arrow = pa.schema([("id", pa.int64()), ("part", pa.string()), ("same", pa.string()), ("tokens", pa.list_(pa.int32()))])
+    fields = [("id", T.LongType(), pa.int64()), ("part", T.StringType(), pa.string()), ("same", T.BinaryType(), pa.binary()), ("tokens", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("reach", T.IntegerType(), pa.int32())]
+    fields += [(b, T.LongType(), pa.int64()) for b in _BAG]
+    schema = T.StructType([T.StructField(n, t) for n, t, _ in fields])
+    arrow = pa.schema([(n, a) for n, _, a in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            at, same, tokens = [], [], []
+            at, same, tokens, reach, bags = [], [], [], [], []
             for i, t in enumerate(batch.column("_text").to_pylist()):
-                w = words(t)
+                w, longest = tokens_of(t)
                 if w:
                     at.append(i)
-                    same.append(xxhash.xxh3_128_hexdigest(" ".join(w)))
+                    same.append(xxhash.xxh3_128_digest(" ".join(w)))
                     for x in w:
                         if x not in known:
                             known[x] = xxhash.xxh3_64_intdigest(x) >> 33
-                    tokens.append([known[x] for x in w])
+                    tokens.append(np.fromiter((known[x] for x in w), dtype=np.int32, count=len(w)))
+                    reach.append(min(longest, int(BLOCK_SHARE * len(w)) + 1))
+                    bags.append(bag_of(tokens[-1]))
             if len(known) > 1 << 20:
                 known.clear()
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("part").take(take), pa.array(same, pa.string()), pa.array(tokens, pa.list_(pa.int32()))], schema=arrow)
+            columns = np.array(bags, dtype=np.int64).reshape(-1, BAG)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(take), batch.column("part").take(take), pa.array(same, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(reach, pa.int32()), *(pa.array(columns[:, i]) for i in range(BAG))],
+                schema=arrow,
+            )
 
     rows = own.mapInArrow(run, schema)
-    grouped = cut_lineage(
-        rows.groupBy("same").agg(F.min("id").alias("class"), F.first("tokens").alias("tokens"), F.max((F.col("part") == "train").cast("int")).alias("train"), F.max((F.col("part") != "train").cast("int")).alias("held"))
-    )
-    members = cut_lineage(rows.select("id", "part", "same").distinct().join(grouped.select("same", "class"), "same").select("id", "part", "class"))
+    grouped = stored(
+        rows.groupBy("same").agg(
+            F.min("id").alias("class"), F.first("tokens").alias("tokens"), F.max("reach").alias("reach"), *(F.first(b).alias(b) for b in _BAG),
+            F.max((F.col("part") == "train").cast("int")).alias("train"), F.max((F.col("part") != "train").cast("int")).alias("held"),
+        )
+    )
+    members = stored(rows.select("id", "part", "same").distinct().join(grouped.select("same", "class"), "same").select("id", "part", "class"))
     return members, grouped.drop("same")
 
 
-class _Windows:
-    """Segment hashes at all positions of a batch of token lists."""
+class _Texts:
+    """The token lists of a batch, each read round: after a text its first AHEAD words follow again."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         col = batch.column("tokens")
-        self.offsets = np.asarray(col.offsets) - col.offsets[0].as_py()
-        self.grams = Ngrams(np.asarray(col.flatten()).astype(np.uint32))
-        self.n = np.diff(self.offsets)
-        self.row = np.repeat(np.arange(len(self.n)), self.n)
-        self.pos = np.arange(len(self.row)) - self.offsets[self.row]
-
-    def of(self, q: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, position of the first word, hash) of the segments of q words in the wanted rows."""
-        at = np.flatnonzero((self.pos >= q - 1) & wanted[self.row])
-        return self.row[at], self.pos[at] - (q - 1), self.grams.of(q)[at] ^ (U64(q) << U64(56))
-
-
-def _searched(n: np.ndarray, q: int) -> np.ndarray:
-    """Whether a training text of n words can be near an evaluation text whose segments have q words."""
-    reach = np.maximum(SHIFT, n // 8 + 1)
-    low, high = segment_length(np.maximum(n - reach, 8)), segment_length(n + reach)
-    return (n >= q) & (low <= q) & (q <= high)
-
-
-def _bitmap(df: DataFrame, make) -> np.ndarray:
-    """The union of the bitmaps that `make` gives for each batch, as packed bits; its size is fixed."""
+        offsets = np.asarray(col.offsets) - col.offsets[0].as_py()
+        flat = np.asarray(col.flatten()).astype(np.uint32)
+        self.n = np.diff(offsets).astype(np.int64)
+        wide = self.n + AHEAD
+        self.starts = np.cumsum(wide) - wide
+        self.row = np.repeat(np.arange(len(wide)), wide)
+        self.pos = np.arange(len(self.row)) - self.starts[self.row]
+        ring = flat[offsets[self.row] + self.pos % self.n[self.row]]
+        self.grams = Ngrams(ring)
+        # Fingerprints of the words that begin at each place, four bits each, the first one lowest.
+        ahead = np.concatenate([mix(ring.astype(U64) + U64(99)) >> U64(60), np.zeros(AHEAD, dtype=U64)])
+        for step in (1, 2, 4, 8):
+            ahead[: len(ahead) - step] |= ahead[step:] << U64(4 * step)
+        self.ahead = ahead
+
+    def hashes(self, q: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hash) of the segments of q words of the wanted rows; a place is where a segment begins in the ring."""
+        at = np.flatnonzero((self.pos <= self.n[self.row] - q) & wanted[self.row])
+        return at, self.grams.of(q)[at + q - 1] ^ (U64(q) << U64(56))
+
+
+def searched(n: np.ndarray, q: int) -> np.ndarray:
+    """Whether an evaluation text whose segments have q words can have as many words as is near to n."""
+    low = np.maximum(np.floor((1 - BLOCK_SHARE) * n).astype(np.int64) - 4, 1)
+    high = np.ceil(n / (1 - BLOCK_SHARE)).astype(np.int64) + 4
+    return np.array([m >= q and bool((segment_length(np.arange(a, b + 1)) == q).any()) for m, a, b in zip(n, low, high)])
+
+
+LENGTHS = (4, 5, 6, 7)  # all that segment_length gives
+LONG = 400  # near texts of so many words all have segments of 7
+_SEARCHED = {q: searched(np.arange(LONG + 1), q) for q in LENGTHS}
+
+
+def _bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The bitmap of a column of hashes, as packed bits; its size is fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, dtype=bool)
+        seen = np.zeros(bits, dtype=bool)
         for batch in batches:
-            if batch.num_rows:
-                bits[(make(batch) % U64(BITS)).astype(np.int64)] = True
-        packed = np.packbits(bits)
-        step = CHUNK * 8
-        for c in range(0, len(packed), step):
-            part = packed[c : c + step]
+            seen[(np.asarray(batch.column(column)).view(U64) % U64(bits)).astype(np.int64)] = True
+        packed = np.packbits(seen)
+        for c in range(0, len(packed), CHUNK // 8):
+            part = packed[c : c + CHUNK // 8]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([c // step], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([c // (CHUNK // 8)], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "bits"])
 
     def union(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.frombuffer(pdf["bits"][0], dtype=np.uint8).copy()
@@ -132,106 +191,98 @@ def _bitmap(df: DataFrame, make) -> np.ndarray:
             out |= np.frombuffer(b, dtype=np.uint8)
         return pd.DataFrame({"chunk": [int(pdf["chunk"][0])], "bits": [out.tobytes()]})
 
-    got = df.mapInArrow(run, "chunk int, bits binary").groupBy("chunk").applyInPandas(union, "chunk int, bits binary").toPandas()
-    packed = np.zeros(BITS // 8, dtype=np.uint8)
-    step = CHUNK * 8
+    got = df.select(column).mapInArrow(run, "chunk int, bits binary").groupBy("chunk").applyInPandas(union, "chunk int, bits binary").toPandas()
+    packed = np.zeros(bits // 8, dtype=np.uint8)
     for c, b in zip(got["chunk"], got["bits"]):
-        packed[c * step : (c + 1) * step] = np.frombuffer(b, dtype=np.uint8)
+        packed[c * (CHUNK // 8) : (c + 1) * (CHUNK // 8)] = np.frombuffer(b, dtype=np.uint8)
     return packed
 
 
 def _known(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h % U64(BITS)).astype(np.int64)
+    at = (h % U64(8 * len(packed))).astype(np.int64)
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _frequencies(train: DataFrame, asked: np.ndarray) -> np.ndarray:
-    """How many training positions have a segment that falls into each slot, for segments that evaluation texts have."""
-    shared = train.sparkSession.sparkContext.broadcast(asked)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int32)
-        for batch in batches:
-            if batch.num_rows:
-                w = _Windows(batch)
-                for q in LENGTHS:
-                    _, _, h = w.of(q, _searched(w.n, q))
-                    h = h[_known(shared.value, h)]
-                    total += np.bincount((h >> U64(20)).astype(np.int64) & (SLOTS - 1), minlength=SLOTS).astype(np.int32)
-        for c in range(0, SLOTS, CHUNK):
-            part = total[c : c + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = sum(np.frombuffer(b, dtype=np.int32).astype(np.int64) for b in pdf["counts"])
-        return pd.DataFrame({"chunk": [int(pdf["chunk"][0])], "counts": [np.minimum(out, 2**31 - 1).astype(np.int32).tobytes()]})
-
-    got = train.mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").toPandas()
-    total = np.zeros(SLOTS, dtype=np.int32)
-    for c, b in zip(got["chunk"], got["counts"]):
-        total[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(b, dtype=np.int32)
-    return total
+def held_segments(held: DataFrame) -> DataFrame:
+    """The k + 1 segments of each evaluation class, with the fingerprint of what follows.
 
-
-_SEGMENT = "class long, n int, pos int, h long, taken int"
-
-
-def _segment_batch(batch: pa.RecordBatch, n: np.ndarray, row: list | np.ndarray, pos: list | np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    row = np.asarray(row, dtype=np.int64)
-    taken = np.bincount(row, minlength=len(n))[row].astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [batch.column("class").take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(np.asarray(pos, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(taken)],
-        ["class", "n", "pos", "h", "taken"],
-    )
-
-
-def held_segments(held: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """The segments that each evaluation class takes: of those that follow each other without a gap, the rarest ones.
-
-    Their number doesn't depend on how rare they are, nor on whether training texts have them.
+    `near1` and `near2` mark the words ahead in which at most one and at most two edits can be.
     """
-    shared = held.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            w = _Windows(batch)
-            lengths = segment_length(w.n)
-            rows, places, hashes = [], [], []
-            for q in LENGTHS:
-                row, pos, h = w.of(q, lengths == q)
-                tile = pos % q == 0
-                row, pos, h = row[tile], pos[tile], h[tile]
-                often = shared.value[(h >> U64(20)).astype(np.int64) & (SLOTS - 1)]
-                order = np.lexsort((pos, often, row))
-                edges = np.searchsorted(row, np.arange(len(w.n) + 1))
-                for r in np.flatnonzero(lengths == q):
-                    take = order[edges[r] : edges[r + 1]][: segments_needed(int(w.n[r]))]
-                    rows += [r] * len(take)
-                    places += pos[take].tolist()
-                    hashes += h[take].tolist()
-            yield _segment_batch(batch, w.n, rows, places, np.array(hashes, dtype=U64))
-
-    return held.mapInArrow(run, _SEGMENT)
+            t = _Texts(batch)
+            q, k = segment_length(t.n), edits_borne(t.n)
+            row = np.repeat(np.arange(len(q)), np.where(q > 0, k + 1, 0))
+            first = np.searchsorted(row, np.arange(len(q)))
+            pos = (np.arange(len(row)) - first[row]) * q[row]
+            at = t.starts[row] + pos
+            h = np.zeros(len(row), dtype=U64)
+            for length in np.unique(q[q > 0]):
+                own = q[row] == length
+                h[own] = t.grams.of(int(length))[at[own] + length - 1] ^ (U64(length) << U64(56))
+            left = t.n[row] - q[row]
+            ones, flags = U64(0x1111111111111111), []
+            for segments in (1, 2):
+                words = np.where(k[row] >= segments, np.minimum(np.minimum(segments * q[row], left), AHEAD - 2), 0)
+                flags.append(np.where(words > 0, ones >> (U64(64) - U64(4) * words.astype(U64)) % U64(64), U64(0)))
+            reach = np.maximum(np.asarray(batch.column("reach"))[row], k[row] + 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), batch.column("class").take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(t.n[row].astype(np.int32)), pa.array(reach), pa.array(t.ahead[at + q[row]].view(np.int64)), *(pa.array(f.view(np.int64)) for f in flags)],
+                ["h", "held", "pos", "n", "reach", "ahead", "near1", "near2"],
+            )
+
+    return held.select("class", "tokens", "reach").mapInArrow(run, "h long, held long, pos int, n int, reach int, ahead long, near1 long, near2 long")
 
 
 def train_segments(train: DataFrame, taken: np.ndarray) -> DataFrame:
-    """The positions of training classes whose segment the bitmap knows as taken by an evaluation class."""
+    """The places of training classes whose segment the bitmap knows as an evaluation class's.
+
+    `place` packs the position (25 bits), the text's words (25 bits) and its reach (13 bits; the most stands for any).
+    """
     shared = train.sparkSession.sparkContext.broadcast(taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            w = _Windows(batch)
+            t = _Texts(batch)
+            reach = np.minimum(np.asarray(batch.column("reach")).astype(np.int64), (1 << 13) - 1)
+            place = (t.n << 13) | reach
             for q in LENGTHS:
-                row, pos, h = w.of(q, _searched(w.n, q))
+                at, h = t.hashes(q, _SEARCHED[q][np.minimum(t.n, LONG)])
                 ok = _known(shared.value, h)
-                yield _segment_batch(batch, w.n, row[ok], pos[ok], h[ok])
-
-    return train.mapInArrow(run, _SEGMENT)
+                at, h = at[ok], h[ok]
+                row = t.row[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), batch.column("class").take(pa.array(row)), pa.array((t.pos[at] << 38) | place[row]), pa.array(t.ahead[at + q].view(np.int64))],
+                    ["h", "train", "place", "after"],
+                )
+
+    return train.select("class", "tokens", "reach").mapInArrow(run, "h long, train long, place long, after long")
+
+
+def _apart(shift: int) -> Column:
+    """Flags of the words ahead of the evaluation segment that the training text has not `shift` words further on."""
+    after = F.col("after")
+    other = F.shiftrightunsigned(after, 4 * shift) if shift > 0 else F.shiftleft(after, -4 * shift) if shift else after
+    x = F.col("ahead").bitwiseXOR(other)
+    folded = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    return folded.bitwiseOR(F.shiftrightunsigned(folded, 2))  # its lowest bit of four counts
+
+
+def _may_be_near() -> Column:
+    """Whether a segment's match can belong to a near pair: by its position and by the words that follow it."""
+    pos, n, reach = F.shiftright("place", 38), F.shiftright("place", 13).bitwiseAND(F.lit((1 << 25) - 1)), F.col("place").bitwiseAND(F.lit((1 << 13) - 1))
+    far = F.greatest(F.col("reach").cast("long"), F.when(reach == (1 << 13) - 1, F.lit(1 << 40)).otherwise(reach), F.expr("1") + F.shiftright(F.greatest(n, F.col("n").cast("long")), 3))
+    one = _apart(0).bitwiseAND(_apart(1)).bitwiseAND(_apart(-1))
+    two = one.bitwiseAND(_apart(2)).bitwiseAND(_apart(-2))
+    return (
+        (F.abs(F.col("pos") - pos) <= far) & (F.abs(F.col("n") - n) <= far)
+        & (F.bit_count(one.bitwiseAND(F.col("near1"))) <= 1) & (F.bit_count(two.bitwiseAND(F.col("near2"))) <= 2)
+    )
 
 
 def banded_distance(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
@@ -271,79 +322,131 @@ def banded_distance(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.n
     return out
 
 
-def near(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+def one_block_apart(a: np.ndarray, b: np.ndarray, block: int) -> tuple[int, int]:
+    """(edits if one block of a or of b is left out, edits if one of each is), for blocks of at most about `block` words.
+
+    Banded dynamic programming over four states: nothing left out so far, a block of b, one of a, one of
+    both. Leaving out costs nothing; a path can't leave the diagonal by more than the block and the slack.
+    """
+    band = block + int(slack(max(len(a), len(b)))) + 1
+    width, far = 2 * band + 1, 1 << 20
+    y = np.concatenate([np.full(band, -2, dtype=np.int32), b, np.full(width + len(a) + 1, -2, dtype=np.int32)])
+    k = np.arange(width)
+    neither = np.where(k >= band, k - band, far)
+    states = {"": neither, "b": np.where(k >= band, 0, far), "a": np.full(width, far), "ab": np.full(width, far)}
+    leaving = {"a": np.full(width, far), "ab": np.full(width, far)}
+    for i, x in enumerate(a):
+        j = i + 1 + k - band
+        passed = {"a": np.minimum(leaving["a"], states[""]), "ab": np.minimum(leaving["ab"], states["b"])}
+        leaving = {s: np.append(v[1:], far) for s, v in passed.items()}
+        stepped = {}
+        for s, prev in states.items():
+            cell = prev + (y[i : i + width] != x)
+            cell[:-1] = np.minimum(cell[:-1], prev[1:] + 1)
+            if s in leaving:
+                cell = np.minimum(cell, leaving[s])
+            stepped[s] = np.where(j < 0, far, cell)
+        stepped["b"] = np.minimum(stepped["b"], np.minimum.accumulate(stepped[""]))
+        stepped["ab"] = np.minimum(stepped["ab"], np.minimum.accumulate(stepped["a"]))
+        states = {s: np.minimum.accumulate(v - k) + k for s, v in stepped.items()}
+    end = len(b) - len(a) + band
+    if not 0 <= end < width:
+        return far, far
+    return int(min(states["a"][end], states["b"][end])), int(states["ab"][end])
+
+
+def _missing(s: np.ndarray, t: np.ndarray) -> int:
+    """How many words of s, counted as often as they stand, t has not."""
+    words, n = np.unique(s, return_counts=True)
+    other, m = np.unique(t, return_counts=True)
+    at = np.minimum(np.searchsorted(other, words), len(other) - 1)
+    return int(np.maximum(0, n - np.where(other[at] == words, m[at], 0)).sum())
+
+
+def near(a: list[np.ndarray], b: list[np.ndarray], blocks: list[int] | None = None) -> np.ndarray:
     """Whether each pair is near: at most about one word in eight edited, or one sentence more, less or moved.
 
-    For the latter nearly all runs of three words of the shorter text stand in the longer one, which has
-    at most about half as many words again.
+    A sentence has at most `blocks` words; where none are given, at most BLOCK_SHARE of the longer text.
     """
     out = np.zeros(len(a), dtype=bool)
-    todo = []
+    shorter = np.array([min(len(s), len(t)) for s, t in zip(a, b)], dtype=np.int64)
+    k, spare = edits_borne(shorter), slack(shorter)
+    todo, rest = [], []
     for i, (s, t) in enumerate(zip(a, b)):
-        short, long = min(len(s), len(t)), max(len(s), len(t))
-        if short < 0.6 * long:
-            continue
-        shared = np.intersect1d(s, t).size
-        if shared < 0.6 * min(np.unique(s).size, np.unique(t).size):
-            continue
-        if short >= 12:
-            g, h = (np.unique(Ngrams(v.astype(np.uint32)).of(3)[2:]) for v in (s, t))
-            both = np.intersect1d(g, h, assume_unique=True).size
-            if both >= 0.8 * min(len(g), len(h)) and both >= 0.6 * max(len(g), len(h)):
-                out[i] = True
-                continue
-        todo.append(i)
-    todo.sort(key=lambda i: len(a[i]))
+        cap = int(BLOCK_SHARE * max(len(s), len(t)))
+        cap = cap if blocks is None else min(cap, int(blocks[i]))
+        less, more = _missing(s, t), _missing(t, s)
+        if max(less, more) <= k[i]:  # an edit changes at most one word
+            todo.append(i)
+        if min(less, more) <= spare[i] and max(less, more) <= spare[i] + cap:
+            rest.append((i, cap, max(less, more) <= spare[i]))
+    todo.sort(key=lambda i: shorter[i])
     for g in range(0, len(todo), 64):
         part = todo[g : g + 64]
-        most = max(max(len(a[i]), len(b[i])) for i in part)
-        d = banded_distance([a[i] for i in part], [b[i] for i in part], most // 8 + 2)
-        for i, x in zip(part, d):
-            out[i] = x <= max(len(a[i]), len(b[i])) // 8 + (1 if max(len(a[i]), len(b[i])) >= 16 else 0)
+        d = banded_distance([a[i] for i in part], [b[i] for i in part], int(k[part].max()))
+        out[part] = d <= k[part]
+    for i, cap, same_words in rest:
+        if not out[i]:
+            one, both = one_block_apart(a[i], b[i], cap)
+            out[i] = one <= spare[i] or same_words and both <= spare[i]
     return out
 
 
 def near_classes(classes: DataFrame) -> DataFrame:
     """(held, train): pairs of different classes that are near."""
-    own = classes.select("class", "tokens", "train", "held")
-    held, train = own.filter("held = 1"), own.filter("train = 1")
-
-    def asked(batch: pa.RecordBatch) -> np.ndarray:
-        w = _Windows(batch)
-        lengths = segment_length(w.n)
-        return np.concatenate([w.of(q, lengths == q)[2] for q in LENGTHS])
-
-    asked_for = _bitmap(held, asked)
-    frequency = _frequencies(train, asked_for)
-    left = cut_lineage(held_segments(held, frequency))
-    taken = _bitmap(left.select("h"), lambda batch: np.asarray(batch.column("h")).view(U64))
-    right = train_segments(train, taken)
-    reach = F.greatest(F.lit(SHIFT), F.expr("n div 8 + 1"))
-    a = left.select(F.col("class").alias("held"), "h", F.col("pos").alias("p"), "n", "taken", reach.alias("reach"))
-    b = right.select(F.col("class").alias("train"), "h", F.col("pos").alias("p2"), F.col("n").alias("n2"))
-    pairs = a.join(b, "h").filter("held <> train and abs(p - p2) <= reach and abs(n - n2) <= reach")
-    pairs = pairs.select("held", "train").distinct()
-    both = pairs.join(own.select(F.col("class").alias("held"), F.col("tokens").alias("a")), "held").join(own.select(F.col("class").alias("train"), F.col("tokens").alias("b")), "train")
+    held, train = classes.filter("held = 1"), classes.filter("train = 1")
+    left = stored(held_segments(held))
+    total = left.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * total).bit_length()))
+    right = train_segments(train, _bitmap(left, "h", bits))
+    # At most HOT segments make up that part of all; each gets salts in proportion, so that its matches are shared out.
+    part = max(1, total // HOT)
+    hot = left.groupBy("h").count().filter(F.col("count") > part).select("h", F.expr(f"cast(count div {part} + 1 as int)").alias("salts"))
+    hot = F.broadcast(hot)
+    a = left.join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    b = right.join(hot, "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("train"), F.col("salts").cast("long")).cast("int"), F.lit(0))).drop("salts")
+    joined = b.join(a.hint("merge"), (a.h == b.h) & (a.salt == b.salt) & (F.col("held") != F.col("train")) & _may_be_near())
+    pairs = joined.select("held", "train").distinct()
+
+    texts = classes.select("class", "reach", F.size("tokens").alias("n"), *_BAG)
+    sides = [texts.select(F.col("class").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("reach", "n", *_BAG))) for s in ("held", "train")]
+    both = pairs.join(sides[0].hint("merge"), "held").join(sides[1].hint("merge"), "train")
+    only = lambda s, t: sum((F.bit_count(F.col(f"{b}_{s}").bitwiseAND(F.bitwise_not(f"{b}_{t}"))) for b in _BAG), F.lit(0))
+    shorter = F.least("n_held", "n_train")
+    k = F.shiftright(shorter, 3) + (shorter >= 16).cast("int")
+    spare = F.shiftright(k, 2) + (shorter >= 16).cast("int")
+    least, most = F.least(only("held", "train"), only("train", "held")), F.greatest(only("held", "train"), only("train", "held"))
+    fits = (most <= k) | (least <= spare) & (most <= spare + F.greatest("reach_held", "reach_train"))
+    chosen = stored(both.filter(fits).select("held", "train", F.greatest("reach_held", "reach_train").alias("block")))
+    words = chosen.join(classes.select(F.col("class").alias("held"), F.col("tokens").alias("a")), "held").join(classes.select(F.col("class").alias("train"), F.col("tokens").alias("b")), "train")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = ([np.asarray(v.values, dtype=np.int32) for v in batch.column(c)] for c in ("a", "b"))
-                at = pa.array(np.flatnonzero(near(a, b)))
+                at = pa.array(np.flatnonzero(near(a, b, batch.column("block").to_pylist())))
                 yield pa.RecordBatch.from_arrays([batch.column("held").take(at), batch.column("train").take(at)], ["held", "train"])
 
-    return both.select("held", "train", "a", "b").mapInArrow(verify, "held long, train long")
+    return words.select("held", "train", "block", "a", "b").mapInArrow(verify, "held long, train long")
+
+
+def class_links(df: DataFrame, key: str = "sample_id", split: str = "split", text: str = "patient_context") -> tuple[DataFrame, DataFrame]:
+    """(members, links): (id, part, class) of each record, and (held, train) of each pair of classes that is equal or near.
+
+    Null, blank and wordless texts and records without a split are in no class; repeated keys count once. An
+    empty table, or one without either side, gives no link. Only the named columns are read.
+    """
+    members, classes = classes_of(df, key, split, text)
+    same = classes.filter("train = 1 and held = 1").select(F.col("class").alias("held"), F.col("class").alias("train"))
+    return members, stored(near_classes(classes).unionByName(same))
 
 
 def cross_split_overlaps(df: DataFrame, key: str = "sample_id", split: str = "split", text: str = "patient_context") -> DataFrame:
     """(held_id, held_part, train_id): every pair of an evaluation and a training record that is equal or near.
 
-    Null, blank and wordless texts and records without a split make no pair; repeated keys count once. An
-    empty table, or one without either side, gives no pair. Only the named columns are read.
+    The links of `class_links`, expanded to records; what holds there of nulls, repeated keys and empty tables holds here.
     """
-    members, classes = classes_of(df, key, split, text)
-    found = near_classes(classes).unionByName(classes.filter("train = 1 and held = 1").select(F.col("class").alias("held"), F.col("class").alias("train")))
-    links = cut_lineage(found)
+    members, links = class_links(df, key, split, text)
     return (
         links.join(members.filter("part <> 'train'").select(F.col("class").alias("held"), F.col("id").alias("held_id"), F.col("part").alias("held_part")), "held")
         .join(members.filter("part = 'train'").select(F.col("class").alias("train"), F.col("id").alias("train_id")), "train")

@@ -56,11 +56,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs by the evaluation record's split and dataset_name, and how many of its records are in one."""
+    """The pairs by the evaluation record's split and dataset_name, and how many of its records are in one.
+
+    Pairs are counted from the sizes of the linked classes, without listing them.
+    """
     samples = table(spark, sf_dir, "samples")
-    names = samples.groupBy(F.col("sample_id").alias("held_id")).agg(F.min("dataset_name").alias("dataset_name"))
-    pairs = crosssplit.cross_split_overlaps(samples).distinct()
-    return pairs.join(names, "held_id").groupBy(F.col("held_part").alias("split"), "dataset_name").agg(F.count("*").alias("n_pairs"), F.count_distinct("held_id").alias("n_records"))
+    names = samples.groupBy(F.col("sample_id").alias("id")).agg(F.min("dataset_name").alias("dataset_name"))
+    members, links = crosssplit.class_links(samples)
+    partners = members.filter("part = 'train'").groupBy(F.col("class").alias("train")).agg(F.count("*").alias("n"))
+    linked = links.join(partners, "train").groupBy(F.col("held").alias("class")).agg(F.sum("n").alias("n"))
+    held = members.filter("part <> 'train'").join(names, "id").groupBy("class", F.col("part").alias("split"), "dataset_name").agg(F.count_distinct("id").alias("records"), F.count("*").alias("rows"))
+    return held.join(linked, "class").groupBy("split", "dataset_name").agg(F.sum(F.col("n") * F.col("rows")).alias("n_pairs"), F.sum("records").alias("n_records"))
 
 
 def _p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
