@@ -1,17 +1,17 @@
 """Problem 3: records of evaluation splits that also stand, exactly or nearly, in the training split.
 
-Method: edit-distance segment join, with words as the units of editing. An evaluation text whose near copies
-bear k edits is cut into k + 1 segments, of which at least one stands unchanged in each of them; training texts
-are searched for the segments at the positions that the edits, and one sentence more, less or moved, allow, and
-candidates are verified with banded dynamic programming.
+Method: edit-distance segment join, with words as the units of editing. A text whose near copies bear k edits is
+cut into k + 1 segments, of which at least one stands unchanged in each of them; the texts of the other side are
+searched for the segments at the positions that the edits, and one sentence more, less or moved, allow, and
+candidates are verified with banded dynamic programming. Nearness is mutual, so that either side may be cut: as all
+positions of the other one are sent about, the side that is cut is the larger one, the training texts.
 
 A matching segment alone says little where texts are made of stock sentences. More is known of a near copy:
 read round the text, one of its unchanged segments has at most one edit in the next segment and at most two in
 the next two, or else the edits would add up to more than k. Each segment therefore carries a fingerprint of the
 sixteen words that follow it, and the join's own condition compares fingerprints; pairs are then held against
 each other by bitmaps of their words. No pair within the bounds is lost by any of this: fingerprints and bitmaps
-err to the side of letting through, at every size, and the bitmap that spares positions the shuffle costs time
-and no result when it fills up. Segments that many evaluation texts have are salted.
+err to the side of letting through, at every size. Segments that many texts have are salted.
 
 Equal texts, beyond layout and notation, are one class first: links are found between classes, and a class's
 members are listed once.
@@ -23,7 +23,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,8 +33,6 @@ from millrace.llm.components import split_name
 from millrace.llm.textarr import HAN, U64, Ngrams, mix, plain
 from millrace.session import stored
 
-CHUNK = 1 << 17  # bits of a bitmap that are merged together
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 AHEAD = 16  # words after a segment of which it carries a fingerprint of four bits each
 BAG = 4  # words of 64 bits of a text's bitmap of words
 HOT = 2000  # a segment is hot from this part of all segments on, so that there are at most so many hot ones
@@ -46,9 +43,9 @@ _STOPS = frozenset("。!?.\n")
 
 
 def edits_borne(n: np.ndarray | int) -> np.ndarray:
-    """k: the edits borne by two texts the shorter of which has n words, about one word in eight."""
+    """k: the edits borne by two texts the shorter of which has n words: one word in eight, and one more where k + 1 segments of 7 words still fit."""
     n = np.asarray(n)
-    return n // 8 + (n >= 16)
+    return n // 8 + np.where(n < 56, n >= 16, 7 * (n // 8 + 2) <= n)
 
 
 def slack(n: np.ndarray | int) -> np.ndarray:
@@ -160,51 +157,21 @@ class _Texts:
         return at, self.grams.of(q)[at + q - 1] ^ (U64(q) << U64(56))
 
 
-def searched(n: np.ndarray, q: int) -> np.ndarray:
-    """Whether an evaluation text whose segments have q words can have as many words as is near to n."""
-    low = np.maximum(np.floor((1 - BLOCK_SHARE) * n).astype(np.int64) - 4, 1)
-    high = np.ceil(n / (1 - BLOCK_SHARE)).astype(np.int64) + 4
-    return np.array([m >= q and bool((segment_length(np.arange(a, b + 1)) == q).any()) for m, a, b in zip(n, low, high)])
-
-
 LENGTHS = (4, 5, 6, 7)  # all that segment_length gives
-LONG = 400  # near texts of so many words all have segments of 7
-_SEARCHED = {q: searched(np.arange(LONG + 1), q) for q in LENGTHS}
-
-
-def _bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """The bitmap of a column of hashes, as packed bits; its size is fixed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, dtype=bool)
-        for batch in batches:
-            seen[(np.asarray(batch.column(column)).view(U64) % U64(bits)).astype(np.int64)] = True
-        packed = np.packbits(seen)
-        for c in range(0, len(packed), CHUNK // 8):
-            part = packed[c : c + CHUNK // 8]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([c // (CHUNK // 8)], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "bits"])
+LONG = 400  # texts of so many words, and all near them, have segments of 7
+_UP_TO = {q: np.cumsum(segment_length(np.arange(2 * LONG)) == q) for q in LENGTHS}
 
-    def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.frombuffer(pdf["bits"][0], dtype=np.uint8).copy()
-        for b in pdf["bits"][1:]:
-            out |= np.frombuffer(b, dtype=np.uint8)
-        return pd.DataFrame({"chunk": [int(pdf["chunk"][0])], "bits": [out.tobytes()]})
 
-    got = df.select(column).mapInArrow(run, "chunk int, bits binary").groupBy("chunk").applyInPandas(union, "chunk int, bits binary").toPandas()
-    packed = np.zeros(bits // 8, dtype=np.uint8)
-    for c, b in zip(got["chunk"], got["bits"]):
-        packed[c * (CHUNK // 8) : (c + 1) * (CHUNK // 8)] = np.frombuffer(b, dtype=np.uint8)
-    return packed
-
-
-def _known(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h % U64(8 * len(packed))).astype(np.int64)
-    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+def searched(n: np.ndarray, reach: np.ndarray, q: int) -> np.ndarray:
+    """Whether a text of n words, one sentence of which has at most `reach`, can be near a cut one whose segments have q words."""
+    low = n - np.maximum(reach + slack(n), edits_borne(n)) - 2
+    high = np.ceil(n / (1 - BLOCK_SHARE)).astype(np.int64) + 4
+    within = _UP_TO[q][np.minimum(high, 2 * LONG - 1)] > _UP_TO[q][np.clip(low, 1, 2 * LONG - 1) - 1]
+    return (n >= q) & np.where(n < LONG, within, q == 7)
 
 
-def held_segments(held: DataFrame) -> DataFrame:
-    """The k + 1 segments of each evaluation class, with the fingerprint of what follows.
+def cut_segments(classes: DataFrame) -> DataFrame:
+    """The k + 1 segments of each class, with the fingerprint of what follows.
 
     `near1` and `near2` mark the words ahead in which at most one and at most two edits can be.
     """
@@ -231,41 +198,38 @@ def held_segments(held: DataFrame) -> DataFrame:
             reach = np.maximum(np.asarray(batch.column("reach"))[row], k[row] + 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), batch.column("class").take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(t.n[row].astype(np.int32)), pa.array(reach), pa.array(t.ahead[at + q[row]].view(np.int64)), *(pa.array(f.view(np.int64)) for f in flags)],
-                ["h", "held", "pos", "n", "reach", "ahead", "near1", "near2"],
+                ["h", "cut", "pos", "n", "reach", "ahead", "near1", "near2"],
             )
 
-    return held.select("class", "tokens", "reach").mapInArrow(run, "h long, held long, pos int, n int, reach int, ahead long, near1 long, near2 long")
+    return classes.select("class", "tokens", "reach").mapInArrow(run, "h long, cut long, pos int, n int, reach int, ahead long, near1 long, near2 long")
 
 
-def train_segments(train: DataFrame, taken: np.ndarray) -> DataFrame:
-    """The places of training classes whose segment the bitmap knows as an evaluation class's.
+def all_segments(classes: DataFrame) -> DataFrame:
+    """The segments at all positions of each class, of the lengths that near texts are cut into.
 
     `place` packs the position (25 bits), the text's words (25 bits) and its reach (13 bits; the most stands for any).
     """
-    shared = train.sparkSession.sparkContext.broadcast(taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = _Texts(batch)
-            reach = np.minimum(np.asarray(batch.column("reach")).astype(np.int64), (1 << 13) - 1)
-            place = (t.n << 13) | reach
+            reach = np.asarray(batch.column("reach")).astype(np.int64)
+            place = (t.n << 13) | np.minimum(reach, (1 << 13) - 1)
             for q in LENGTHS:
-                at, h = t.hashes(q, _SEARCHED[q][np.minimum(t.n, LONG)])
-                ok = _known(shared.value, h)
-                at, h = at[ok], h[ok]
+                at, h = t.hashes(q, searched(t.n, reach, q))
                 row = t.row[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), batch.column("class").take(pa.array(row)), pa.array((t.pos[at] << 38) | place[row]), pa.array(t.ahead[at + q].view(np.int64))],
-                    ["h", "train", "place", "after"],
+                    ["h", "other", "place", "after"],
                 )
 
-    return train.select("class", "tokens", "reach").mapInArrow(run, "h long, train long, place long, after long")
+    return classes.select("class", "tokens", "reach").mapInArrow(run, "h long, other long, place long, after long")
 
 
 def _apart(shift: int) -> Column:
-    """Flags of the words ahead of the evaluation segment that the training text has not `shift` words further on."""
+    """Flags of the words ahead of a segment that the other text has not `shift` words further on."""
     after = F.col("after")
     other = F.shiftrightunsigned(after, 4 * shift) if shift > 0 else F.shiftleft(after, -4 * shift) if shift else after
     x = F.col("ahead").bitwiseXOR(other)
@@ -392,21 +356,36 @@ def near(a: list[np.ndarray], b: list[np.ndarray], blocks: list[int] | None = No
     return out
 
 
-def near_classes(classes: DataFrame) -> DataFrame:
-    """(held, train): pairs of different classes that are near."""
-    held, train = classes.filter("held = 1"), classes.filter("train = 1")
-    left = stored(held_segments(held))
-    total = left.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * total).bit_length()))
-    right = train_segments(train, _bitmap(left, "h", bits))
-    # At most HOT segments make up that part of all; each gets salts in proportion, so that its matches are shared out.
-    part = max(1, total // HOT)
-    hot = left.groupBy("h").count().filter(F.col("count") > part).select("h", F.expr(f"cast(count div {part} + 1 as int)").alias("salts"))
-    hot = F.broadcast(hot)
-    a = left.join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    b = right.join(hot, "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("train"), F.col("salts").cast("long")).cast("int"), F.lit(0))).drop("salts")
-    joined = b.join(a.hint("merge"), (a.h == b.h) & (a.salt == b.salt) & (F.col("held") != F.col("train")) & _may_be_near())
-    pairs = joined.select("held", "train").distinct()
+def hot_segments(segments: DataFrame, total: int) -> DataFrame:
+    """(h, salts) of the segments that make up more than one part in HOT of all, at most 2 HOT ones.
+
+    Each task counts its own rows and passes on what is hot among them, so that only few counts are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [np.asarray(batch.column("h")) for batch in batches]
+        h, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        often = n > max(1, n.sum() // HOT)
+        yield pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(n[often].astype(np.int64))], ["h", "n"])
+
+    part = max(1, total // (2 * HOT))
+    counts = segments.select("h").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return counts.filter(F.col("n") > part).select("h", F.expr(f"cast(n div {2 * part} + 1 as int)").alias("salts"))
+
+
+def near_classes(classes: DataFrame, cut: str = "train") -> DataFrame:
+    """(held, train): pairs of different classes that are near; the side `cut` is cut into segments."""
+    other = "held" if cut == "train" else "train"
+    left_classes = classes.filter(f"{cut} = 1")
+    left = cut_segments(left_classes)
+    right = all_segments(classes.filter(f"{other} = 1"))
+    # Hot segments get salts in proportion, so that their matches are shared out.
+    total = left_classes.agg(F.sum(F.shiftright(F.size("tokens"), 3) + 2)).first()[0] or 0
+    hot = F.broadcast(hot_segments(left, total))
+    a = right.join(hot, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    b = left.join(hot, "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("cut"), F.col("salts").cast("long")).cast("int"), F.lit(0))).drop("salts")
+    joined = b.join(a.hint("merge"), (a.h == b.h) & (a.salt == b.salt) & (F.col("cut") != F.col("other")) & _may_be_near())
+    pairs = joined.select(F.col("cut").alias(cut), F.col("other").alias(other)).distinct()
 
     texts = classes.select("class", "reach", F.size("tokens").alias("n"), *_BAG)
     sides = [texts.select(F.col("class").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("reach", "n", *_BAG))) for s in ("held", "train")]

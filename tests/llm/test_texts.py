@@ -141,15 +141,62 @@ def test_near_copies_whose_edits_others_share(spark):
 
 def test_one_segment_more_than_the_edits_fits():
     for n in range(8, 2000):
-        most = max(m for m in range(n, 2 * n + 4) if m - n <= m // 8 + (m >= 16))
-        assert N.segments_needed(n) > most // 8 + (most >= 16)
-        assert N.segments_needed(n) <= n // int(N.segment_length(np.array([n]))[0])
+        k, q = int(N.edits_borne(n)), int(N.segment_length(np.array([n]))[0])
+        assert n // 8 <= k <= n // 8 + 1 and q in N.LENGTHS and (k + 1) * q <= n and (n < N.LONG * 0.5 or q == 7)
 
 
-def test_segments_do_not_depend_on_training_texts(spark):
-    rows = [(n, list(range(n))) for n in (8, 14, 30, 140)]
-    taken = N.held_segments(spark.createDataFrame(rows, "class long, tokens array<int>"), np.zeros(N.SLOTS, dtype=np.int32)).groupBy("class").count().collect()
-    assert {r["class"]: r["count"] for r in taken} == {n: N.segments_needed(n) for n, _ in rows}
+def test_segments_and_their_number(spark):
+    rows = [(n, list(range(n)), 10) for n in (5, 8, 14, 30, 140)]
+    taken = N.cut_segments(spark.createDataFrame(rows, "class long, tokens array<int>, reach int")).groupBy("cut").count().collect()
+    assert {r["cut"]: r["count"] for r in taken} == {n: int(N.edits_borne(n)) + 1 for n, _, _ in rows if n >= 8}
+
+
+def changed(rng, words, every):
+    """The words with one in `every` changed, at places drawn anew for each stretch."""
+    out = list(words)
+    for i in range(0, len(out) - every + 1, every):
+        out[i + rng.randrange(every)] = f"x{rng.randrange(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("cut", ["train", "held"])
+@pytest.mark.parametrize("every", [8, 12])
+def test_near_copies_at_the_limit_among_stock_sentences(spark, every, cut):
+    rng = random.Random(every)
+    stock = [sentence(rng, 14).lower() for _ in range(12)]
+    rows, expected = [], set()
+    for f in range(80):
+        plain = " ".join(s.replace(".", f" {rng.randrange(90)}.") for s in rng.sample(stock, 8)).split()
+        rows += [(f, "val", " ".join(changed(rng, plain, every))), (1000 + f, "train", " ".join(plain))]
+        expected.add((f, 1000 + f))
+    _, classes = N.classes_of(spark.createDataFrame(rows, "sample_id long, split string, patient_context string"), "sample_id", "split", "patient_context")
+    assert expected <= {(r.held, r.train) for r in N.near_classes(classes, cut).collect()}
+
+
+def test_one_long_chinese_sentence_more(spark):
+    rng = random.Random(3)
+    han = [chr(0x4E00 + i) for i in range(400)]
+    speak = lambda n: "".join(rng.choice(han) for _ in range(n)) + "。"
+    rows = []
+    for f in range(10):
+        parts = [speak(30) for _ in range(6)]
+        at = rng.randrange(7)
+        rows += [(f, "test", "".join([*parts[:at], speak(60), *parts[at:]])), (100 + f, "train", "".join(parts))]
+    got = {(r.held_id, r.train_id) for r in N.cross_split_overlaps(spark.createDataFrame(rows, "sample_id long, split string, patient_context string")).collect()}
+    assert got == {(f, 100 + f) for f in range(10)}
+
+
+def test_sentence_left_out_or_moved_by_dynamic_programming():
+    rng = random.Random(6)
+    for _ in range(40):
+        parts = [[rng.randrange(500) for _ in range(14)] for _ in range(7)]
+        whole = np.array(sum(parts, []), dtype=np.int32)
+        i, j = rng.sample(range(7), 2)
+        less = np.array(sum(parts[:i] + parts[i + 1 :], []), dtype=np.int32)
+        order = [p for p in range(7) if p != i]
+        moved = np.array(sum((parts[p] for p in [*order[:j], i, *order[j:]]), []), dtype=np.int32)
+        half = np.array(sum(parts[:4], []) + [rng.randrange(500, 900) for _ in range(42)], dtype=np.int32)
+        assert N.near([whole, less, whole, whole], [less, whole, moved, half], [14] * 4).tolist() == [True, True, True, False]
 
 
 def test_banded_distance():
