@@ -1,10 +1,13 @@
 """Problem 8: passages of held-out items inside training documents.
 
 Method: q-gram lemma filtering. Both sides are reduced to a stream of lower-case letters and digits, so
-that layout, marks and spelling of hyphens don't matter. A passage of w characters with e edits shares at
-least w + 1 - q - q e of its q-grams with its source, all on diagonals (document offset minus item offset)
-within the length of what interrupts it; shared q-grams are therefore counted in overlapping bands of
-diagonals, and only bands that reach the bound are aligned, with dynamic programming confined to the band.
+that layout, marks and spelling of hyphens don't matter. Of the q-grams of a passage an edited word of l
+characters takes away at most l + q - 1 that follow each other; of every STEP-th one, which are all that is looked
+up in a document, at most one more than that over STEP. What is left when the longest words are edited, as many
+as the definition bears, is the fewest that a passage and its source share, all on diagonals (document offset minus
+item offset) within the length of what interrupts it. Shared q-grams are therefore counted in overlapping
+bands of diagonals, and only regions that reach the bound are looked at: their matches are extended letter by letter, and where
+enough running words are kept, dynamic programming confined to the band aligns the region.
 
 The items are a stated query set of bounded size, taken in blocks: each block's q-grams go to all tasks,
 which scan every document in full. Documents are neither shuffled nor joined with each other.
@@ -15,7 +18,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.textarr import U64, Ngrams, arrow_fields, chunks, codepoints, plain
+from millrace.llm.textarr import HAN, U64, Ngrams, arrow_fields, chunks, codepoints, plain
 
-Q = 10
+Q = 8
+STEP = 4  # every so many characters of a document, its q-gram is looked up
 BAND = 256  # width of a band of diagonals; neighbours overlap by half
-RUNNING_WORDS = 23
-WHOLE_SHARE = 0.82  # of the aligned part's words
-WHOLE_WORDS = 25  # of these, as they are in the item
-EDIT_SHARE = 0.05  # edits that the filter must bear, as a share of the passage's characters
-MARGIN = 48  # characters around a region that its alignment may use
-SCORE_SHARE = 0.7  # of an aligned passage's characters
-COVERED = 0.72  # of a passage's characters, by shared q-grams
-LOCAL = 64
-LOCAL_HITS = int(LOCAL + 1 - Q - Q * np.ceil(EDIT_SHARE * LOCAL)) - 1
-BITS = 1 << 23
+RUNNING_WORDS = 24  # about 25; of each so many running ones, one in eight may be edited
+MARGIN = 24  # characters around a region that count too
+SCORE_SHARE = 0.5  # of an aligned passage's characters: matches less edits
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 BLOCK = 20_000
 
 _KEEP = np.array([chr(i).isalnum() for i in range(0x30000)])
+_WORD = re.compile(rf"[{HAN}]|[^\W_{HAN}]+")
 
 
 def stream_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,45 +53,53 @@ class ItemIndex:
     """All q-grams of a block of items, sorted by hash, and what verification needs."""
 
     ids: list[str]
-    streams: list[np.ndarray]
-    word_ends: list[np.ndarray]
-    base: np.ndarray  # where each item's offsets begin in `length`
-    least: np.ndarray  # the fewest q-grams that the lemma asks of one of its passages
+    stream: np.ndarray  # all items, padded
+    starts: np.ndarray
+    ends: np.ndarray  # where each word ends in its item's stream, item after item
+    lengths: np.ndarray  # of the words
+    word_base: np.ndarray  # where each item's words begin in `ends`
+    base: np.ndarray  # where each item's offsets begin in `length` and `need`
+    least: np.ndarray  # the fewest looked-up q-grams that the lemma asks of one of its passages
     length: np.ndarray  # for each offset, the characters of the passage that begins there
+    need: np.ndarray  # for each offset, the q-grams that the lemma asks of that passage
     hashes: np.ndarray
     item: np.ndarray
     offset: np.ndarray
-    bitmap: np.ndarray
+    known: np.ndarray
 
 
-def _word_ends(text: str) -> np.ndarray:
-    """For each word of the text, where it ends in its stream."""
-    lengths = [len(w) for w in re.findall(r"[^\W_]+", plain(text))]
-    return np.cumsum(lengths)
+def _passages(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each offset of an item's stream: length and lemma bound of the passage of RUNNING_WORDS words from its word on.
 
-
-def _lemma(characters: np.ndarray) -> np.ndarray:
-    """The q-grams that a passage of so many characters still shares after its share of edits; 8 at least."""
-    return np.maximum(8, characters + 1 - Q - Q * np.ceil(EDIT_SHARE * characters))
+    Towards the end, and in items of fewer words, the last passage's bound holds.
+    """
+    lengths = np.diff(ends, prepend=0)
+    m = min(RUNNING_WORDS, len(ends))
+    window = np.lib.stride_tricks.sliding_window_view(lengths, m)
+    edited = np.sort(window, axis=1)[:, m - m // 8 :]
+    # An edited word, or an interruption, takes away looked-up q-grams in one run.
+    lost = -(-(edited + Q - 1) // STEP)
+    bound = (window.sum(axis=1) + 1 - Q) // STEP - lost.sum(axis=1) - -(-(Q - 1) // STEP)
+    word = np.repeat(np.arange(len(ends)), lengths)
+    of = np.minimum(word, len(bound) - 1)
+    until = ends[np.minimum(word + m, len(ends)) - 1]
+    return until - np.arange(len(word)), np.maximum(2, bound[of])
 
 
 def build_index(ids: list[str], texts: list[str]) -> ItemIndex:
     """Index of one block. An item whose text has fewer words than a passage must be held whole."""
-    streams, ends, hs, items, offsets = [], [], [], [], []
-    base, least, length = np.zeros(len(ids) + 1, dtype=np.int64), np.zeros(len(ids)), []
+    ends, lengths, needs, hs, items, offsets, streams = [], [], [], [], [], [], []
+    none = np.zeros(0, dtype=np.int64)
+    base, least = np.zeros(len(ids) + 1, dtype=np.int64), np.full(len(ids), 1 << 30)
     for i, t in enumerate(texts):
-        s, _ = stream_of([t])
-        s, e = s[:-1], _word_ends(t)
+        e = np.cumsum([len(w) for w in _WORD.findall(plain(t))], dtype=np.int64)
+        s = stream_of([t])[0][:-1]
         streams.append(s)
         ends.append(e)
-        # The passage from an offset on ends with the RUNNING_WORDSth word; the last ones are as long as what is before the end.
-        word = np.searchsorted(e, np.arange(len(s)), "right")
-        until = np.minimum(word + RUNNING_WORDS - 1, max(0, len(e) - 1))
-        own = (e[until] if len(e) else np.zeros(0, np.int64)) - np.arange(len(s))
-        whole = int((e[min(RUNNING_WORDS, len(e)) - 1]) if len(e) else 0)
-        own[word + RUNNING_WORDS > len(e)] = max(whole if len(e) <= RUNNING_WORDS else 0, int(own[word + RUNNING_WORDS <= len(e)].min(initial=whole)))
-        length.append(own)
-        least[i] = _lemma(own).min(initial=1 << 30)
+        length, need = _passages(e) if len(e) else (none, none)
+        lengths.append(length)
+        needs.append(need)
+        least[i] = need.min(initial=1 << 30)
         base[i + 1] = base[i] + len(s)
         if len(s) >= Q:
             h = Ngrams(s).of(Q)[Q - 1 :]
@@ -102,77 +108,53 @@ def build_index(ids: list[str], texts: list[str]) -> ItemIndex:
             offsets.append(np.arange(len(h), dtype=np.int64))
     h = np.concatenate(hs) if hs else np.zeros(0, dtype=U64)
     order = np.argsort(h, kind="stable")
-    bitmap = np.zeros(BITS, dtype=bool)
-    bitmap[(h % U64(BITS)).astype(np.int64)] = True
+    known = np.zeros(min(MOST_BITS, max(LEAST_BITS, 1 << (16 * len(h)).bit_length())), dtype=bool)
+    known[(h % U64(len(known))).astype(np.int64)] = True
+    pad = np.full(1, 1, dtype=np.uint32)  # no document has the characters 1 and 2
     return ItemIndex(
-        ids, streams, ends, base, least, np.concatenate(length) if length else np.zeros(0, np.int64), h[order],
-        np.concatenate(items)[order] if hs else np.zeros(0, np.int64), np.concatenate(offsets)[order] if hs else np.zeros(0, np.int64), np.packbits(bitmap),
+        ids, np.concatenate([*(x for s in streams for x in (s, pad)), pad]), base[:-1] + np.arange(len(ids)), np.concatenate([none, *ends]), np.concatenate([none, *(np.diff(e, prepend=0) for e in ends)]),
+        np.cumsum([0, *map(len, ends)]), base, least, np.concatenate([none, *lengths]), np.concatenate([none, *needs]), h[order], np.concatenate([none, *items])[order], np.concatenate([none, *offsets])[order], known,
     )
 
 
 def align(items: list[np.ndarray], docs: list[np.ndarray], width: int) -> np.ndarray:
-    """Best local alignment of each item part with its document part, all at once, within a band.
+    """Best score of a local alignment of each item part with its document part, all at once, within a band.
 
     Cell (i, k) stands for item offset i and document offset i + k, 0 <= k < width, of parts cut so that
-    the band starts at their beginnings. A match counts 1, an edit -1. Gives rows of (score, item start,
-    item end).
+    the band starts at their beginnings. A match counts 1, an edit -1, but no path loses more than an
+    edited passage may, and what interrupts the passage costs no more than one edited word.
     """
     n, rows = len(items), max(map(len, items))
-    a = np.full((n, rows), 1, dtype=np.uint32)  # no stream has the characters 1 and 2
+    a = np.full((n, rows), 1, dtype=np.uint32)
     d = np.full((n, rows + width), 2, dtype=np.uint32)
     for i, (x, y) in enumerate(zip(items, docs)):
         a[i, : len(x)] = x
         d[i, : len(y)] = y[: rows + width]
     window = np.lib.stride_tricks.sliding_window_view(d, width, axis=1)
-    k = np.arange(width, dtype=np.int32)
-    # A cell is score * 2^12 + (4095 - where its alignment began), so that one maximum keeps both.
-    step, zero = np.int32(1 << 12), np.int32(0)
-    prev = np.zeros((n, width), dtype=np.int32)
-    best, end = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int64)
+    k = np.arange(width, dtype=np.int16)
+    prev = np.zeros((n, width), dtype=np.int16)
+    best = np.zeros(n, dtype=np.int16)
     for i in range(rows):
-        start = np.int32(4095 - min(i, 4095))
-        prev = np.where(prev < step, start, prev)
-        cell = prev + np.where(window[:, i] == a[:, i : i + 1], step, -step)
-        cell[:, :-1] = np.maximum(cell[:, :-1], prev[:, 1:] - step)
-        cell = np.maximum.accumulate(cell + k * step, axis=1) - k * step
-        prev = np.maximum(cell, zero)
-        top = prev.max(axis=1)
-        better = top >> 12 > best >> 12
-        best, end = np.where(better, top, best), np.where(better, i + 1, end)
-    return np.stack([best >> 12, 4095 - (best & 4095), end], axis=1)
-
-
-def whole_words(item: np.ndarray, doc: np.ndarray, start: int, end: int, ends: np.ndarray) -> tuple[int, int]:
-    """How many words of the aligned part of the item the document part has whole, in order, and how many there are.
-
-    Matching runs of five characters or more count; `ends` has the places where the item's words end.
-    """
-    text, other = "".join(map(chr, item[start:end])), "".join(map(chr, doc))
-    same = np.zeros(end - start + 1, dtype=np.int64)
-    for block in SequenceMatcher(None, text, other, autojunk=False).get_matching_blocks():
-        if block.size > 4:
-            same[block.a + 1 : block.a + block.size + 1] = 1
-    run = np.cumsum(same)
-    inside = ends[(ends > start) & (ends <= end)] - start
-    begins = np.concatenate([[0], inside[:-1]]) if len(inside) else inside
-    if len(inside) and start > 0 and not (ends == start).any():
-        inside, begins = inside[1:], begins[1:]  # the first word is cut
-    return int((run[inside] - run[begins] == inside - begins).sum()), len(inside)
-
-
-def _candidates(pair: np.ndarray, diagonal: np.ndarray, gram: np.ndarray, index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
-    """(pair, item start, length, first diagonal, last diagonal) of each passage worth an alignment.
+        cell = prev + np.where(window[:, i] == a[:, i : i + 1], np.int16(1), np.int16(-1))
+        cell[:, :-1] = np.maximum(cell[:, :-1], prev[:, 1:] - 1)
+        cell = np.maximum(cell, np.maximum.accumulate(cell, axis=1) - INTERRUPTION)
+        cell = np.maximum.accumulate(cell + k, axis=1) - k
+        prev = np.maximum(cell, 0).astype(np.int16)
+        best = np.maximum(best, prev.max(axis=1))
+    return best.astype(np.int64)
 
-    A pair is a document's number times the number of items, plus the item's; all documents of a chunk are
-    looked at together.
 
-    Within a band, a passage's length of the item must share the q-grams that the lemma asks for, and
-    these must cover most of the passage: an edit takes away at most the characters up to the
-    next q-gram, while phrases that only share a pattern leave their changing parts uncovered.
+INTERRUPTION = np.int16(12)
+
+
+def _candidates(pair: np.ndarray, diagonal: np.ndarray, offset: np.ndarray, index: ItemIndex) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(region, places) for each half of the bands: the shared q-grams, by place, that lie in a region that reaches the bound.
+
+    A pair is a document's number times the number of items, plus the item's; all documents of a chunk are
+    looked at together. Within a band, the q-grams shared from an item's offset on, as far as the
+    passage goes that begins there, must be as many as the lemma asks; passages that overlap are one region.
     """
-    low = int(diagonal.min())
-    items = len(index.ids)
-    out = []
+    low, items = int(diagonal.min()), len(index.ids)
     # Half bands first: only where two neighbours together have enough q-grams, repeats included, is it worth more.
     halves = (int(diagonal.max()) - low) // (BAND // 2) + 2
     group = pair * halves + (diagonal - low) // (BAND // 2)
@@ -181,96 +163,141 @@ def _candidates(pair: np.ndarray, diagonal: np.ndarray, gram: np.ndarray, index:
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     count, owner = np.diff(np.append(first, len(group))), group[first]
     joined = np.append(owner[1:] == owner[:-1] + 1, False)
-    both = count + np.where(joined, np.append(count[1:], 0), 0)
-    good = both >= index.least[owner // halves % items]
+    good = count + np.where(joined, np.append(count[1:], 0), 0) >= index.least[owner // halves % items]
     good[1:] |= good[:-1] & joined[:-1]
     order = order[np.repeat(good, count)]
-    if not len(order):
-        return []
-    pair, diagonal, gram = pair[order], diagonal[order], gram[order]
-    for half in (0, BAND // 2):
-        band = (diagonal - low + half) // BAND
-        bands = int(band.max()) + 1
-        key = ((pair * bands + band) << 24) | gram
-        order = np.argsort(key)
-        key, diag = key[order], diagonal[order]
+    out = []
+    for half in (0, BAND // 2) if len(order) else ():
+        band = (diagonal[order] - low + half) // BAND
+        key = ((pair[order] * (int(band.max()) + 1) + band) << 24) | offset[order]
+        by = np.argsort(key, kind="stable")
+        place, key = order[by], key[by]
+        # Each offset of a band counts once, however many places of the document share it.
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        # Of a q-gram that several places of the band share, the least and greatest diagonal.
-        least, most = np.minimum.reduceat(diag, first), np.maximum.reduceat(diag, first)
-        key = key[first]
-        owner = key >> 24
-        which = owner // bands
-        need = index.length[index.base[which % items] + (key & 0xFFFFFF)]
-        last = np.searchsorted(key, np.minimum(key + need, (owner << 24) | 0xFFFFFF), "right")
-        fresh = np.full(len(key), Q)
-        fresh[1:] = np.where(owner[1:] == owner[:-1], np.minimum(Q, key[1:] - key[:-1]), Q)
-        covered = np.cumsum(fresh)
-        size = covered[last - 1] - covered + Q
-        enough = np.flatnonzero((last - np.arange(len(key)) >= _lemma(need)) & (size >= COVERED * need))
+        at = index.base[pair[place[first]] % items] + (key[first] & 0xFFFFFF)
+        own = key[first]
+        last = np.searchsorted(own, np.minimum(own + index.length[at], own | 0xFFFFFF), "right")
+        enough = np.flatnonzero(last - np.arange(len(own)) >= index.need[at])
         if not len(enough):
             continue
-        # Windows of the same group that follow each other are one region; its best covered window stands for it.
-        cut = np.flatnonzero(np.append(True, (owner[enough[1:]] != owner[enough[:-1]]) | (enough[1:] >= last[enough[:-1]])))
-        share = size / need
-        for x, y in zip(cut, np.append(cut[1:], len(enough))):
-            i = enough[x + int(share[enough[x:y]].argmax())]
-            j = last[i]
-            out.append((int(which[i]), int(key[i] & 0xFFFFFF), int(need[i]), int(least[i:j].min()), int(most[i:j].max())))
-    return sorted(set(out))
+        # Passages of a band that follow each other are one region.
+        fresh = np.append(True, (own[enough[1:]] >> 24 != own[enough[:-1]] >> 24) | (enough[1:] >= last[enough[:-1]]))
+        begin = first[enough[fresh]]
+        end = np.append(first, len(key))[np.maximum.reduceat(last[enough], np.flatnonzero(fresh))]
+        region = np.repeat(np.arange(len(begin)), end - begin)
+        out.append((region, place[np.repeat(begin - np.cumsum(end - begin) + (end - begin), end - begin) + np.arange(len(region))]))
+    return out
+
+
+def _reach(item: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
+    """How many characters further on (step 1) or back (step -1) the item at `a` and the document at `b` agree, up to MARGIN."""
+    run = np.zeros(len(a), dtype=np.int64)
+    live = np.arange(len(a))
+    for i in range(MARGIN):
+        x, y = a[live] + step * i, b[live] + step * i
+        ok = (x >= 0) & (y >= 0)
+        ok[ok] = item[np.minimum(x[ok], len(item) - 1)] == doc[np.minimum(y[ok], len(doc) - 1)]
+        live = live[ok]
+        if not len(live):
+            break
+        run[live] += 1
+    return run
+
+
+def kept_words(region: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, index: ItemIndex) -> tuple[np.ndarray, np.ndarray]:
+    """(kept, edges): for all words of the item of each region, one after the other, whether the region's matches keep it; and where each region's words begin.
+
+    A match covers an item's characters from `begin` up to `end`. A word is kept if it is covered in full, or but
+    for a slip: a third of the characters of words of four or more.
+    """
+    size = np.diff(index.base)[item] + 1
+    at = np.cumsum(size) - size
+    marks = np.bincount(at[region] + begin, minlength=size.sum()) - np.bincount(at[region] + np.minimum(end, size[region] - 1), minlength=size.sum())
+    run = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
+    count = index.word_base[item + 1] - index.word_base[item]
+    edges = np.concatenate([[0], np.cumsum(count)])
+    word = np.repeat(index.word_base[item] - edges[:-1], count) + np.arange(edges[-1])
+    ends = index.ends[word] + np.repeat(at, count)
+    length = index.lengths[word]
+    return length - (run[ends] - run[ends - length]) <= np.where(length >= 4, length // 3, 0), edges
+
+
+def passage_of(kept: np.ndarray) -> tuple[int, int, int]:
+    """(words kept, first word, last word + 1) of the longest stretch of windows in which seven words in eight are; zeros where there is none.
+
+    In all, so many words must be kept as a passage has: fewer are also shared by two stock sentences.
+    """
+    m = min(RUNNING_WORDS, len(kept))
+    run = np.concatenate([[0], np.cumsum(kept)])
+    good = np.flatnonzero(run[m:] - run[:-m] >= m - m // 8) if m else np.zeros(0, np.int64)
+    if not len(good):
+        return 0, 0, 0
+    # The longest stretch of windows that overlap.
+    cut = np.flatnonzero(np.append(True, good[1:] > good[:-1] + m))
+    stretches = [(int(run[good[y - 1] + m] - run[good[x]]), int(good[x]), int(good[y - 1]) + m) for x, y in zip(cut, np.append(cut[1:], len(good)))]
+    best = max(stretches)
+    return best if best[0] >= m else (0, 0, 0)
 
 
 def scan(texts: list[str], index: ItemIndex, together: int = 64) -> list[list[tuple[str, int, int]]]:
-    """For each text the items of which it holds a passage: (item id, running words seen, score of their alignment)."""
+    """For each text the items of which it holds a passage: (item id, words kept, score of their alignment)."""
     found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-    keep = np.unpackbits(index.bitmap).view(bool)
+    items = len(index.ids)
     for a, b in chunks(texts):
         stream, starts = stream_of(texts[a:b])
-        h = Ngrams(stream).of(Q)
-        hit = np.flatnonzero(keep[(h % U64(BITS)).astype(np.int64)])
-        # Inside a passage, LOCAL characters to either side share this many q-grams with it even at the share of edits borne.
-        around = np.searchsorted(hit, hit + LOCAL, "right") - np.searchsorted(hit, hit - LOCAL, "left")
-        hit = hit[around >= LOCAL_HITS]
+        h = Ngrams(stream).of(Q)[Q - 1 :: STEP]
+        hit = np.flatnonzero(index.known[(h % U64(len(index.known))).astype(np.int64)])
         low = np.searchsorted(index.hashes, h[hit], "left")
         count = np.searchsorted(index.hashes, h[hit], "right") - low
         which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        doc = np.repeat(np.searchsorted(starts, hit, "right") - 1, count)
-        at = np.repeat(hit - (Q - 1), count) - starts[doc]
-        pair, offset = doc * len(index.ids) + index.item[which], index.offset[which]
+        at = np.repeat(hit * STEP, count)  # where the q-gram begins in the stream
+        doc = np.searchsorted(starts, at, "right") - 1
+        pair, offset = doc * items + index.item[which], index.offset[which]
         # Items with fewer shared q-grams in the whole document than the lemma asks of any of their passages.
-        many = np.bincount(pair, minlength=(b - a) * len(index.ids)) >= np.tile(index.least, b - a)
-        worth = many[pair]
+        own, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
+        worth = (n >= index.least[own % items])[inverse]
         pair, offset, at = pair[worth], offset[worth], at[worth]
-        jobs = []
-        if len(pair):
-            for p, start, length, near, far in _candidates(pair, at - offset, offset, index):
-                t, i = divmod(p, len(index.ids))
-                begin = max(0, start - MARGIN)
-                end = min(len(index.streams[i]), start + length + MARGIN)
-                first = begin + near - MARGIN // 2
-                width = far - near + MARGIN + 1
-                part = stream[starts[t] + max(0, first) : min(starts[t + 1] - 1, starts[t] + max(0, first + end - begin + width))]
-                if first < 0:  # the band begins before the document does
-                    part = np.concatenate([np.full(-first, 2, dtype=np.uint32), part])
-                jobs.append((width, a + t, i, begin, index.streams[i][begin:end], part))
-        jobs.sort(key=lambda j: j[0])
+        jobs, taken = [], set()
+        for region, place in _candidates(pair, at - starts[pair // items] - offset, offset, index) if len(pair) else ():
+            o, p = offset[place], pair[place]
+            x = index.starts[p % items] + o
+            back = _reach(index.stream, stream, x - 1, at[place] - 1, -1)
+            on = Q + _reach(index.stream, stream, x + Q, at[place] + Q, 1)
+            edges = np.append(np.flatnonzero(np.append(True, region[1:] != region[:-1])), len(region))
+            own = p[edges[:-1]]
+            kept, words_at = kept_words(region, own % items, o - back, o + on, index)
+            run = np.concatenate([[0], np.cumsum(kept)])
+            for r in np.flatnonzero(run[words_at[1:]] - run[words_at[:-1]] >= np.minimum(RUNNING_WORDS, np.diff(words_at))):
+                y, z = edges[r], edges[r + 1]
+                t, i = divmod(int(own[r]), items)
+                words, first, last = passage_of(kept[words_at[r] : words_at[r + 1]])
+                ends = index.ends[index.word_base[i] : index.word_base[i + 1]]
+                if words and (t, i, first, last) not in taken:  # else the other half of the bands has it
+                    taken.add((t, i, first, last))
+                    begin, end = int(ends[first - 1]) if first else 0, int(ends[last - 1])
+                    used = (o[y:z] >= begin) & (o[y:z] < end)
+                    d = at[place[y:z]][used] - starts[t] - o[y:z][used]
+                    near, far = int(d.min()) - MARGIN, int(d.max()) + MARGIN
+                    start = int(starts[t]) + begin + near
+                    part = stream[max(int(starts[t]), start) : min(int(starts[t + 1]) - 1, start + end - begin + far - near + 1)]
+                    if start < starts[t]:  # the band begins before the document does
+                        part = np.concatenate([np.full(int(starts[t]) - start, 2, dtype=np.uint32), part])
+                    jobs.append((far - near + 1, a + t, i, words, index.stream[index.starts[i] + begin : index.starts[i] + end], part))
+        jobs.sort(key=lambda j: (j[0] // 32, len(j[4])))
         for g in range(0, len(jobs), together):
             group = jobs[g : g + together]
-            aligned = align([j[4] for j in group], [j[5] for j in group], group[-1][0])
-            for (_, t, i, begin, x, y), (score, start, end) in zip(group, aligned):
-                ends = index.word_ends[i] - begin
-                least = min(WHOLE_WORDS, len(ends))
-                if score >= SCORE_SHARE * (end - start) and ((ends > start) & (ends <= end)).sum() >= least:
-                    words, among = whole_words(x, y, int(start), int(end), ends)
-                    if words >= max(least, WHOLE_SHARE * among):
-                        found[t][i] = max(found[t].get(i, (0, 0)), (words, int(score)))
+            for (_, t, i, words, x, _), score in zip(group, align([j[4] for j in group], [j[5] for j in group], max(j[0] for j in group))):
+                if score >= SCORE_SHARE * len(x):
+                    found[t][i] = max(found[t].get(i, (0, 0)), (words, int(score)))
     return [[(index.ids[i], w, s) for i, (w, s) in f.items()] for f in found]
 
 
 def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, block: int = BLOCK) -> DataFrame:
     """(doc_key, item_id, n_words, score) for each document with each item of which it holds a passage.
 
-    A passage is about `RUNNING_WORDS` running words of the item, apart from edits and interruptions of
-    less than half a band; of an item with fewer words, all of them. Null and blank documents and items
+    A passage is about `RUNNING_WORDS` running words of the item, of which one in eight may be edited, apart from interruptions of
+    less than half a band; of an item with fewer words, all of them; an item
+    of fewer than Q letters has no q-gram and is in no document. Null and blank documents and items
     match nothing; equal items under several ids are all reported; repeated document rows give repeated
     results. Items are read to the driver, `block` at a time, so that a block's index has a bounded size.
     """

@@ -101,6 +101,42 @@ def test_leaks(spark):
     assert Q.find_leaks(frame.limit(0), "doc_id", "text", spark.createDataFrame(items, "id string, question string"), "id", "question").count() == 0
 
 
+def found_share(docs, items):
+    index = Q.build_index([str(i) for i in range(len(items))], items)
+    return sum(str(i) in {x[0] for x in f} for i, f in enumerate(Q.scan(docs, index))) / len(docs)
+
+
+@pytest.mark.parametrize("running,every", [(26, 0), (26, 26), (30, 15), (40, 12), (40, 8)])
+def test_edited_passages_are_leaks(running, every):
+    rng = random.Random(running + every)
+    listed = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(3, 11))) for _ in range(3000)]
+    items = [" ".join(rng.choice(listed) for _ in range(90)) for _ in range(60)]
+    docs = []
+    for t in items:
+        at = rng.randrange(90 - running)
+        passage = t.split()[at : at + running]
+        for i in range(0, running - every + 1, every) if every else ():
+            passage[i + rng.randrange(every)] = rng.choice(listed)
+        if running == 40:  # an interruption
+            passage.insert(20, "page 7 of 31")
+        docs.append(" ".join([rng.choice(listed) for _ in range(30)] + passage + [rng.choice(listed) for _ in range(30)]))
+    assert found_share(docs, items) >= 0.9
+    assert found_share(docs[1:], items[:-1]) == 0
+
+
+def test_a_chinese_passage_is_a_leak():
+    rng = random.Random(5)
+    items = ["".join(chr(0x4E00 + rng.randrange(900)) + ("，" if rng.random() < 0.1 else "") for _ in range(400)) for _ in range(30)]
+    docs = ["".join(chr(0x4E00 + rng.randrange(900)) for _ in range(200)) + t[100:190] + "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(200)) for t in items]
+    assert found_share(docs, items) == 1 and found_share([d[:200] + d[270:] for d in docs], items) == 0
+
+
+def test_items_shorter_than_a_passage():
+    index = Q.build_index(["a", "b", "c"], ["Which drug should be started first in gout?", "", "x"])
+    got = Q.scan(["Asked: which drug should be started first in gout? None.", "which drug should be started", "", "x"], index)
+    assert [[x[0] for x in f] for f in got] == [["a"], [], [], []]
+
+
 def edit(rng, words, share):
     out = list(words)
     for _ in range(int(len(words) * share)):
