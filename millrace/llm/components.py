@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, stored
 
 # Spellings of the three splits.
 SPLIT_NAMES = {
@@ -25,6 +25,10 @@ SPLIT_NAMES = {
 }
 SPLIT_PREFIXES = (("train", "train"), ("val", "val"), ("test", "test"), ("trn", "train"), ("dev", "val"), ("heldout", "test"))
 
+# What may stand between prefix and number, and what marks a version instead of a prefix.
+SEPARATORS = r"[\s:_\x{ad}\x{2010}-\x{2015}\x{2212}\x{ff0d}-]"
+VERSION_MARKS = ("V", "VER", "VERSION", "REV", "PART")
+
 
 def split_name(spelled: Column) -> Column:
     """train, val or test for the many spellings of a split; null where it names none."""
@@ -40,12 +44,12 @@ def split_name(spelled: Column) -> Column:
 def source_refs(spelled: Column) -> Column:
     """The sources that a `source_id` names, as PREFIX-NUMBER, in order and without repeats.
 
-    The prefix is upper case, the number has no leading zeros; what stands around them (addresses, `id=`,
-    version suffixes, separators) doesn't count. A value without any such pair is a source by itself,
+    The prefix is upper case, the number, of any number of digits, has no leading zeros; what stands around
+    them (addresses, `id=`, version suffixes, separators) doesn't count. A value without any such pair is a source by itself,
     trimmed and in upper case; null and blank values name none.
     """
     up = F.upper(spelled)
-    pattern = r"([A-Z]+)[\s:_­‐-―−－-]*([0-9]{5,})"
+    pattern = rf"(?<![A-Z0-9])(?!(?:{'|'.join(VERSION_MARKS)}){SEPARATORS}*[0-9])([A-Z]+){SEPARATORS}*([0-9]+)"
     prefixes, numbers = F.regexp_extract_all(up, F.lit(pattern), 1), F.regexp_extract_all(up, F.lit(pattern), 2)
     refs = F.array_distinct(F.zip_with(prefixes, numbers, lambda p, n: F.concat_ws("-", p, F.regexp_replace(n, "^0+(?=.)", ""))))
     bare = F.regexp_replace(up, r"(?U)^\s+|\s+$", "")
@@ -85,14 +89,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def source_components(df: DataFrame, key: str, source: str) -> DataFrame:
-    """(ref, component): the group of each source that `source` names in some record.
+    """(ref, component): the group of each source that is named together with another one; its name is its least source.
 
     Sources named together in a record are one group, and so on through other records.
     """
     refs = df.select(F.col(key).alias("k"), source_refs(F.col(source)).alias("refs"))
     several = refs.filter(F.size("refs") > 1).select("refs").distinct()
     edges = several.select(F.explode(F.transform(F.slice("refs", 2, 1 << 20), lambda r: F.struct(F.col("refs")[0].alias("a"), r.alias("b")))).alias("e")).select("e.*")
-    return connected_components(edges).select(F.col("node").alias("ref"), "component")
+    parts = connected_components(edges)
+    named = parts.groupBy("component").agg(F.min("node").alias("least"))
+    return parts.join(named, "component").select(F.col("node").alias("ref"), F.col("least").alias("component"))
 
 
 def grouped_records(df: DataFrame, key: str = "sample_id", source: str = "source_id", split: str = "split") -> DataFrame:
@@ -105,7 +111,7 @@ def grouped_records(df: DataFrame, key: str = "sample_id", source: str = "source
     handling of skewed joins.
     """
     named = F.try_element_at(source_refs(F.col(source)), F.lit(1))
-    alone = F.concat(F.lit("\0"), F.col(key).cast("string"))
+    alone = F.concat(F.lit("record "), F.col(key).cast("string"))
     rows = df.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("record"), F.coalesce(named, alone).alias("ref"), split_name(F.col(split)).alias("given")
     )
@@ -128,25 +134,41 @@ def torn_records(records: DataFrame) -> DataFrame:
     return records.filter("given is not null").join(torn_components(records).select("component"), "component", "left_semi")
 
 
-def assign_splits(records: DataFrame, val: float = 0.1, test: float = 0.1, large: float = 0.02, buckets: int = 4096) -> DataFrame:
+def _place_large(groups: list[tuple[str, int]], targets: dict[str, float]) -> tuple[dict[str, str], dict[str, float]]:
+    """(split of each group, records used of each split): each group in turn goes where most of the target is left and half of it fits; train where it fits nowhere."""
+    used = dict.fromkeys(targets, 0.0)
+    placed = {}
+    for name, n in groups:
+        fitting = [s for s in targets if targets[s] - used[s] >= n / 2]
+        placed[name] = split = max(fitting, key=lambda s: 1 - used[s] / targets[s], default="train")
+        used[split] += n
+    return placed, used
+
+
+def assign_splits(records: DataFrame, val: float = 0.1, test: float = 0.1, large: float = 0.02) -> DataFrame:
     """(component, n_records, split): every group in one split, by the order of its hash.
 
-    Groups with more than the share `large` of all records, at most 1/large of them, go to train; what is
-    left is laid out in the order of the hash and cut so that val and test have their share of all
-    records. The running total is kept by hash bucket, then within a bucket, so that no task sees all
-    groups. No record gives an empty result.
+    Groups with more than the share `large` of all records, at most 1/large of them, are placed first, in
+    the order of their hash, where most room is left. The others are laid out in the order of their hash and cut
+    so that test and val fill up to their share of all records. The running total is kept by the hash's first three digits,
+    then among groups that share them, so that no task sees all groups. No record gives an empty result.
     """
     total = records.count()
-    sizes = records.groupBy("component").agg(F.count("*").alias("n_records")).withColumn("big", F.col("n_records") > total * large)
-    rank = F.xxhash64(F.lit("split"), "component")
-    small = sizes.filter("not big").withColumn("h", rank).withColumn("bucket", F.shiftrightunsigned("h", 64 - (buckets.bit_length() - 1)))
+    key = F.md5(F.concat(F.lit("split:"), F.col("component")))
+    sizes = stored(records.groupBy("component").agg(F.count("*").alias("n_records")).withColumn("h", key))
+    is_large = F.col("n_records") > total * large
+    rows = sizes.filter(is_large).orderBy("h").collect()  # at most 1/large
+    placed, used = _place_large([(r.component, r.n_records) for r in rows], {"train": total * (1 - val - test), "val": total * val, "test": total * test})
+    room = {s: max(0.0, total * share - used[s]) for s, share in (("test", test), ("val", val))}
+    small = sizes.filter(~is_large).withColumn("bucket", F.substring("h", 1, 3))
     by_bucket = small.groupBy("bucket").agg(F.sum("n_records").alias("in_bucket"))
     before = by_bucket.select("bucket", (F.sum("in_bucket").over(Window.orderBy("bucket")) - F.col("in_bucket")).alias("before"))
-    within = Window.partitionBy("bucket").orderBy("h", "component").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # A group's place is where its middle lies, so that a group across a border falls to the side with more of it.
     place = F.col("before") + F.sum("n_records").over(within) - F.col("n_records") / 2
     laid = small.join(F.broadcast(before), "bucket").withColumn("at", place)
-    named = F.when(F.col("at") < total * test, "test").when(F.col("at") < total * (test + val), "val").otherwise("train")
+    named = F.when(F.col("at") < room["test"], "test").when(F.col("at") < room["test"] + room["val"], "val").otherwise("train")
+    big = F.create_map(*(F.lit(x) for pair in placed.items() for x in pair)) if placed else F.create_map().cast("map<string,string>")
     return laid.select("component", "n_records", named.alias("split")).unionByName(
-        sizes.filter("big").select("component", "n_records", F.lit("train").alias("split"))
+        sizes.filter(is_large).select("component", "n_records", F.try_element_at(big, F.col("component")).alias("split"))
     )

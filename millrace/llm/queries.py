@@ -178,12 +178,14 @@ def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_split": p2_split, "p2_torn_sources": p2_torn_sources, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p6_consensus": p6_consensus, "p6_reviewers": p6_reviewers, "p6_agreement": p6_agreement, "p7_found": p7_found, "p7_places": p7_places, "p7_use": p7_use, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_languages": p9_languages, "p9_segments": p9_segments}
 
-_REFS = r"""
-refs as (
-    select distinct on (sample_id) sample_id, lower(trim(coalesce(split, ''))) s,
-        list_distinct(list_transform(regexp_extract_all(upper(coalesce(source_id, '')), '[A-Z]+[\s:_\x{2010}-\x{2015}-]*[0-9]{5,}'),
-            lambda m: regexp_extract(m, '^[A-Z]+') || '-' || regexp_replace(regexp_extract(m, '[0-9]+$'), '^0+', ''))) r
-    from samples),
+_SEP = r"[\s:_\x{00AD}\x{2010}-\x{2015}\x{2212}\x{FF0D}-]*"
+_REFS = rf"""
+named as (
+    select distinct on (sample_id) sample_id, lower(trim(coalesce(split, ''))) s, upper(trim(coalesce(source_id, ''))) bare,
+        list_distinct(list_transform(list_filter(regexp_extract_all(upper(coalesce(source_id, '')), '[A-Z]+{_SEP}[0-9]+'), lambda m: regexp_extract(m, '^[A-Z]+') not in ('V', 'VER', 'VERSION', 'REV', 'PART')),
+            lambda m: regexp_extract(m, '^[A-Z]+') || '-' || regexp_replace(regexp_extract(m, '[0-9]+$'), '^0+([0-9])', '\1'))) found
+    from samples where sample_id is not null),
+refs as (select sample_id, s, case when len(found) > 0 then found when bare <> '' then [bare] else ['record ' || sample_id] end r from named),
 sides as (select sample_id, r, case when s like 'tr%' then 'train' when s like '%test%' then 'test' when s <> '' then 'val' end given from refs),
 links as (select r[1] a, unnest(r) b from sides union select unnest(r), r[1] from sides),
 walk as (select a node, a reached from links union select w.node, l.b from walk w join links l on l.a = w.reached),
@@ -192,7 +194,23 @@ records as (select sample_id, c, given from sides join component on node = r[1])
 torn as (select c, count(*) n_records, count(*) filter (given = 'train') n_train, count(*) filter (given = 'val') n_val, count(*) filter (given = 'test') n_test from records group by c having count(distinct given) > 1)
 """
 
+_SPLITS = """
+sizes as (select c, count(*) n, md5('split:' || c) h, sum(count(*)) over () total from records group by c),
+big as (select *, row_number() over (order by h) i from sizes where n > total * 0.02),
+walk_big as (select 0::bigint i, ''::varchar c, ''::varchar s, 0.0::double tr, 0.0::double va, 0.0::double te
+    union all select i, c, s, tr + case s when 'train' then n else 0 end, va + case s when 'val' then n else 0 end, te + case s when 'test' then n else 0 end from (
+        select *, case when a >= b and a >= d and a > -9 then 'train' when b >= d and b > -9 then 'val' when d > -9 then 'test' else 'train' end s from (
+            select b.i, b.c, b.n, g.tr, g.va, g.te, case when total * (1 - 0.1 - 0.1) - tr >= n / 2 then 1 - tr / (total * (1 - 0.1 - 0.1)) else -10 end a,
+                case when total * 0.1 - va >= n / 2 then 1 - va / (total * 0.1) else -10 end b, case when total * 0.1 - te >= n / 2 then 1 - te / (total * 0.1) else -10 end d
+            from walk_big g join big b on b.i = g.i + 1))),
+rooms as (select greatest(0, (select max(total) from sizes) * 0.1 - te) te, greatest(0, (select max(total) from sizes) * 0.1 - va) va from walk_big order by i desc limit 1),
+small as (select c, sum(n) over (order by h rows unbounded preceding) - n / 2 middle from sizes where n <= total * 0.02),
+assigned as (select c, case when middle < te then 'test' when middle < te + va then 'val' else 'train' end s from small, rooms union all select c, s from walk_big where i > 0)
+"""
+
 ORACLES: dict[str, str] = {
+    "p2_split": f"with recursive {_REFS}, {_SPLITS} select sample_id, c component, given, s assigned from records join assigned using (c)",
+    "p2_torn_sources": f"with recursive {_REFS} select c component, n_records, n_train, n_val, n_test from torn",
     "p2_found": f"with recursive {_REFS} select sample_id from records where given is not null and c in (select c from torn)",
     "p6_agreement": r"""
         with sides as (select id, review_round, trim(reviewer1_id) reviewer, reviewer1_final_decision d, reviewer1_clinical_plausibility s from review_sample
