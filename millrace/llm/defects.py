@@ -3,8 +3,8 @@
 Method: the suffix automaton of the prompt's words is traversed with the response, which gives the
 share of the response that runs of copied words cover; an Aho-Corasick automaton finds phrases that
 decline; votes of stop words, and of scripts, tell the language of both sides; a stack of delimiters
-and the model of endings tell what breaks off. The automaton of a prompt is built only where the share
-of the response's words that the prompt has at all, an upper bound of the coverage, allows a copy.
+and the model of endings tell what breaks off. All of it reads whole texts. The automaton of a prompt is built only
+where enough of the response's words stand in the prompt at all: the others can't be covered.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ STOPWORDS = {
     "es": "el los las del y es una con por para en que se fue sin como no más tras desde todavía su la",
     "pt": "o os as do da dos das e é uma com por para em que se foi não como mais depois ainda nas ao",
 }
+_PLAIN_REFUSALS = frozenset(REFUSALS)
 COPY_SHARE, COPY_OF_PROMPT, COPY_RUN = 0.7, 0.5, 3
 
 _HAN_RUN = re.compile(f"[{HAN}]+")
@@ -78,20 +79,25 @@ def is_empty(text: str | None) -> bool:
     return bare.rstrip(".") in PLACEHOLDERS or not any(c.isalnum() for c in bare)
 
 
+_SENTENCE_EDGE = re.compile(r"[.!?。！？]\s|[。！？\n]")
+_SPEAKER = re.compile(r"\b(?:i|i'm|i'd|we|this assistant|this service)\b")
+
+
+def _sentence_around(low: str, at: int) -> str:
+    """The sentence of `low` that holds the place `at`."""
+    begin = max((low.rfind(mark, 0, at) for mark in (". ", "! ", "? ", "。", "！", "？", "\n")), default=-1) + 1
+    end = _SENTENCE_EDGE.search(low, at)
+    return low[begin : end.start() if end else len(low)]
+
+
 def declines(text: str) -> bool:
-    """Whether a phrase that declines stands in the text's first 240 characters or in a text under 400."""
-    low = text[: 400 if len(text) <= 400 else 240].lower().replace("’", "'").replace("\n", " ")
-    first_person = None
-    for _, phrase in refusal_automaton().iter(low):
-        if phrase.startswith(("does not", "do not", "don't")):
-            if "assistant" in low:
-                return True
-            continue
-        if phrase in REFUSALS:
+    """Whether a phrase that declines stands anywhere in the text; phrases that clinical texts also use must have a speaker in their sentence."""
+    low = text.lower().replace("’", "'")
+    for end, phrase in refusal_automaton().iter(low):
+        if phrase in _PLAIN_REFUSALS:
             return True
-        if first_person is None:
-            first_person = re.search(r"\b(?:i|i'm|i'd|we|this assistant|this service)\b", low) is not None
-        if first_person:
+        sentence = _sentence_around(low, end)
+        if "assistant" in sentence if phrase.startswith(("does not", "do not", "don't")) else _SPEAKER.search(sentence):
             return True
     return False
 
@@ -169,9 +175,9 @@ class Prompt:
 
     def __init__(self, text: str) -> None:
         self.text = text
+        self.words = words(text)
+        self.vocabulary = set(self.words)
         self._automaton: SuffixAutomaton | None = None
-        self._words: list[str] | None = None
-        self._rough: set[str] | None = None
         self._lang: str | None = ""
 
     @property
@@ -180,41 +186,37 @@ class Prompt:
             self._lang = language_of(self.text)
         return self._lang
 
-    def may_be_copied_by(self, text: str) -> bool:
-        """An upper bound of the copied share, on rough words, with room for typos and marks."""
-        if len(text) < 0.4 * len(self.text) or len(text) < 40:
-            return False
-        if self._rough is None:
-            self._rough = set(self.text.lower().split())
-        rough = text.lower().split()
-        if len(rough) * 12 < len(text):  # a script without spaces: no bound by words
-            return True
-        return sum(w in self._rough for w in rough) >= 0.45 * len(rough)
-
     def copied_by(self, text: str) -> bool:
-        if not self.may_be_copied_by(text):
+        least = max(1, COPY_OF_PROMPT * len(self.words))
+        if len(text) < least:  # a word has a character at least
             return False
-        if self._words is None:
-            self._words = words(self.text)
         theirs = words(text)
-        if not theirs or len(theirs) < COPY_OF_PROMPT * len(self._words):
+        need = max(least, COPY_SHARE * len(theirs))
+        # Words that the prompt has not at all can't be covered.
+        if len(theirs) < least or sum(map(self.vocabulary.__contains__, theirs)) < need:
             return False
         if self._automaton is None:
-            self._automaton = SuffixAutomaton(self._words)
-        covered = self._automaton.covered(theirs, COPY_RUN)
-        return covered >= COPY_SHARE * len(theirs) and covered >= COPY_OF_PROMPT * len(self._words)
+            self._automaton = SuffixAutomaton(self.words)
+        return self._automaton.covered(theirs, min(COPY_RUN, len(self.words))) >= need
+
+
+_DELIMITER = re.compile(r"[()\[\]{}（）【】“”「」]")
+_CLOSING = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "”": "“", "」": "「"}
+_FULL_STOP = re.compile(r"[.!?][\"'”’)\]]*\s|[。！？]")
 
 
 def unclosed(text: str) -> bool:
-    """Whether a bracket or quotation opened in the last 200 characters is still open at the end."""
-    pairs = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "”": "“", "」": "「"}
-    stack: list[str] = []
-    for c in text[-200:]:
-        if c in "([{（【“「":
-            stack.append(c)
-        elif c in pairs and stack and stack[-1] == pairs[c]:
+    """Whether a bracket or quotation opened in the text's last sentence is still open at the end, or a code block anywhere."""
+    stack: list[tuple[str, int]] = []
+    for m in _DELIMITER.finditer(text):
+        c = m[0]
+        if c not in _CLOSING:
+            stack.append((c, m.start()))
+        elif stack and stack[-1][0] == _CLOSING[c]:
             stack.pop()
-    return bool(stack) or text.count("```") % 2 == 1
+    if text.count("```") % 2:
+        return True
+    return bool(stack) and not _FULL_STOP.search(text, stack[-1][1])
 
 
 def defect_of(prompt: Prompt | None, text: str | None) -> str | None:

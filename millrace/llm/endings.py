@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,14 +87,20 @@ def _fold(text: str) -> str:
     return re.sub(r"\d", "9", text)
 
 
-def _final_hashes(bodies: list[str]) -> list[list[int]]:
+def _seed(group: str | None, lang: str) -> int:
+    """What keeps the counts of languages and columns apart."""
+    return xxhash.xxh3_64_intdigest(f"{group}\0{lang}")
+
+
+def _final_hashes(bodies: list[str], seeds: list[int]) -> list[list[int]]:
     """For each text the hashes of its last n characters, for all orders; shorter texts have fewer."""
     out = []
+    own = np.array(seeds, dtype=np.uint64)
     for a, b in chunks(bodies):
         flat, starts = codepoints(["\n" * max(ORDERS) + _fold(t)[-max(ORDERS) :] for t in bodies[a:b]])
         grams = Ngrams(flat)
         last = starts[1:] - 2
-        out.append(np.stack([grams.of(n)[last] ^ np.uint64(n) for n in ORDERS], axis=1).view(np.int64))
+        out.append(np.stack([grams.of(n)[last] ^ np.uint64(n) ^ own[a:b] for n in ORDERS], axis=1).view(np.int64))
     return np.concatenate(out).tolist() if out else []
 
 
@@ -109,10 +116,10 @@ def final_contexts(df: DataFrame, keys: list[str], group: str, text: str) -> Dat
                 body, broken = context_of(t)
                 done = closed(body)
                 bodies.append(body)
-                langs.append(language_of(t[-400:]))
+                langs.append(language_of(t[-TAIL:]))
                 states.append("broken" if broken else "closed" if done else "open" if done is None else "cut")
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(langs), pa.array(states), pa.array(_final_hashes(bodies), pa.list_(pa.int64()))],
+                [*(batch.column(n) for n in names), pa.array(langs), pa.array(states), pa.array(_final_hashes(bodies, [_seed(g, x) for g, x in zip(batch.column(group).to_pylist(), langs)]), pa.list_(pa.int64()))],
                 schema=batch_schema,
             )
 
@@ -133,8 +140,8 @@ def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 
-def continuations(df: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
-    """(h, n): how often each context that the bitmap knows is followed by more text, over all texts.
+def continuations(df: DataFrame, group: str, text: str, wanted: np.ndarray) -> DataFrame:
+    """(h, n): how often each context that the bitmap knows is followed by more text, over all texts of its column and language.
 
     White space after a full stop and any line break are neither end nor continuation.
     """
@@ -145,7 +152,9 @@ def continuations(df: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
         pending: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            texts = [_fold(t) for t in batch.column("_text").to_pylist()]
+            given = batch.column("_text").to_pylist()
+            seeds = np.array([_seed(g, language_of(t[-TAIL:])) for g, t in zip(batch.column("_group").to_pylist(), given)], dtype=np.uint64)
+            texts = [_fold(t) for t in given]
             for a, b in chunks(texts):
                 flat, starts = codepoints(["\n" * max(ORDERS) + t for t in texts[a:b]])
                 grams = Ngrams(flat)
@@ -154,8 +163,9 @@ def continuations(df: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
                 space = following == 32
                 goes_on = (flat != 10) & (flat != 0) & (following != 0) & (following != 10) & (following != 13) & ~(stop & space)
                 at = np.flatnonzero(goes_on)
+                own = np.repeat(seeds[a:b], np.diff(starts))
                 for n in ORDERS[::-1]:
-                    h = grams.of(n)[at] ^ np.uint64(n)
+                    h = grams.of(n)[at] ^ np.uint64(n) ^ own[at]
                     ok = keep[(h % np.uint64(BITMAP_BITS)).astype(np.int64)]
                     pending.append(h[ok])
                     held += len(pending[-1])
@@ -168,10 +178,24 @@ def continuations(df: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
             u, c = np.unique(np.concatenate(pending), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["h", "n"])
 
-    counts = df.select(F.col(text).alias("_text")).filter("_text is not null").mapInArrow(run, "h bigint, n bigint")
+    counts = df.select(F.col(group).cast("string").alias("_group"), F.col(text).alias("_text")).filter("_text is not null").mapInArrow(run, "h bigint, n bigint")
     return counts.groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def fit_thresholds(scored: DataFrame, group: str, least: int = 200) -> dict[tuple[str, str], float]:
+    """For each (group, lang) the log-odds between -2 and 2 around which the fewest texts lie; the one next to 0 of several.
+
+    Ends and cuts make two heaps with a valley between. With fewer texts than `least` it is 0, end and continuation equally likely.
+    Only a histogram by column and language reaches the driver.
+    """
+    bins = scored.groupBy(F.col(group).alias("g"), "lang", F.round(F.greatest(F.least(F.col("odds"), F.lit(8.0)), F.lit(-8.0)) * 4).cast("int").alias("b")).count().collect()
+    heaps: dict[tuple[str, str], np.ndarray] = {}
+    for r in bins:
+        heaps.setdefault((r.g, r.lang), np.zeros(65))[r.b + 32] += r["count"]
+    places = sorted(range(-8, 9), key=abs)
+    return {k: min(places, key=lambda b: h[b + 30 : b + 35].sum()) / 4 if h.sum() >= least else 0.0 for k, h in heaps.items()}
+
+
 def judge_endings(df: DataFrame, keys: list[str], group: str, text: str, support: int = 6, thresholds: dict[tuple[str, str], float] | None = None) -> DataFrame:
     """For each non-blank text: keys, group, lang, `odds` (log-odds of end against continuation) and `truncated`.
 
@@ -180,8 +204,7 @@ def judge_endings(df: DataFrame, keys: list[str], group: str, text: str, support
     longest context seen at least `support` times, in other texts than its copies, decide. Without such a
     context, the counts at the shortest one and the odds among the supported texts of the same group and
     language do. `thresholds` has the log-odds below which a
-    text counts as truncated, by (group, lang); 0, end and continuation equally likely, where it names
-    none. Null and blank texts give no row, an empty table none; repeated rows of the same keys give one
+    text counts as truncated, by (group, lang); where it names none, `fit_thresholds` does. Null and blank texts give no row, an empty table none; repeated rows of the same keys give one
     row; only the named columns are read.
     """
     finals = cut_lineage(final_contexts(df, keys, group, text).dropDuplicates([*keys, group]))
@@ -190,7 +213,7 @@ def judge_endings(df: DataFrame, keys: list[str], group: str, text: str, support
     tails = finals.select(F.try_element_at("contexts", F.lit(1)).alias("tail"), "contexts").dropDuplicates(["tail"])
     ends = tails.select(F.explode("contexts").alias("h")).groupBy("h").agg(F.count("*").alias("ended"))
     wanted = _bitmap(asked.select(F.explode("contexts").alias("h")), "h")
-    going = continuations(df.select(text).distinct(), text, wanted)
+    going = continuations(df.select(group, text).distinct(), group, text, wanted)
     need = asked.select(F.explode("contexts").alias("h")).distinct()
     model = need.join(ends, "h", "left").join(going, "h", "left").select("h", F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("n", F.lit(0)).alias("went_on"))
     scored = (
@@ -217,6 +240,6 @@ def judge_endings(df: DataFrame, keys: list[str], group: str, text: str, support
     )
     both = known.unionByName(scored)
     least = F.lit(0.0)
-    for (g, lang), value in (thresholds or {}).items():
-        least = F.when((F.col(group) == g) & (F.col("lang") == lang), float(value)).otherwise(least)
+    for (g, lang), value in (fit_thresholds(scored, group) | (thresholds or {})).items():
+        least = F.when(F.col(group).eqNullSafe(F.lit(g)) & (F.col("lang") == lang), float(value)).otherwise(least)
     return both.withColumn("truncated", F.col("odds") < least)

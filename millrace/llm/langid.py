@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from millrace.llm.textarr import U64, Ngrams, arrow_fields, chunks, codepoints, mix, plain
 
@@ -98,8 +99,12 @@ def fit_filters(texts: list[str], labels: list[str], languages: tuple[str, ...]
     """Filters from labelled texts: a language contains the n-grams that at least the share `least` of its documents have.
 
     An n-gram also needs at least `against` times the share that its commonest language has, so that
-    wrong labels, a minority in every language, don't carry over. No text gives empty filters.
+    wrong labels, a minority in every language, don't carry over. No text gives empty filters. The masks are as
+    wide as the number of languages asks, up to 64.
     """
+    if len(languages) > 64:
+        raise ValueError("at most 64 languages")
+    mask = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.iinfo(t).bits)
     keys, langs, sizes = [], [], np.zeros(len(languages))
     for text, label in zip(texts, labels):
         if label in languages:
@@ -107,17 +112,17 @@ def fit_filters(texts: list[str], labels: list[str], languages: tuple[str, ...]
             keys.append(np.unique(h))
             langs.append(np.full(len(keys[-1]), languages.index(label)))
             sizes[languages.index(label)] += 1
-    slots = np.zeros(SLOTS, dtype=np.uint8)
+    slots = np.zeros(SLOTS, dtype=mask)
     if keys:
         k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         count = np.zeros((len(k), len(languages)))
         np.add.at(count, (inverse, np.concatenate(langs)), 1)
         share = count / np.maximum(sizes, 1)
         has = (share >= least) & (count >= 2) & (share >= against * share.max(axis=1, keepdims=True))
-        bits = (has * (1 << np.arange(len(languages)))).sum(axis=1).astype(np.uint8)
+        bits = np.bitwise_or.reduce(np.where(has, mask(1) << np.arange(len(languages)).astype(mask), mask(0)), axis=1)
         for at in slots_of(k):
             np.bitwise_or.at(slots, at, bits)
-    fill = np.array([((slots >> i) & 1).mean() for i in range(len(languages))])
+    fill = np.array([((slots >> mask(i)) & mask(1)).mean() for i in range(len(languages))])
     return Filters(slots, languages, fill**HASHES)
 
 
@@ -151,7 +156,7 @@ def score_spans(texts: list[str], spans: list[list[tuple[int, int]]], filters: F
         running = np.zeros((n + 1, len(flat) + 1), dtype=np.int32)
         np.cumsum(live, out=running[0, 1:])
         for i in range(n):
-            np.cumsum((mask >> i) & 1, out=running[i + 1, 1:])
+            np.cumsum((mask >> mask.dtype.type(i)) & mask.dtype.type(1), out=running[i + 1, 1:])
         for t in range(a, b):
             if not spans[t]:
                 out.append(np.zeros((0, n + 1)))
@@ -201,20 +206,19 @@ def segments_of(text: str, spans: list[tuple[int, int]], votes: np.ndarray, lang
     return done
 
 
-def fit_from(df: DataFrame, key: str, text: str, lang: str, rows: int = SAMPLE_ROWS, chars: int = 4_000) -> Filters:
-    """Filters fitted on a bounded sample: at most `rows` rows a label, those whose key has the least hash.
+def fit_from(df: DataFrame, key: str, text: str, lang: str, rows: int = SAMPLE_ROWS) -> Filters:
+    """Filters fitted on a bounded sample: at most `rows` rows a label, those whose key has the least hash, with their whole texts.
 
-    One pass over keys and labels finds each label's greatest hash in the sample with a partial top-k on
-    every partition; a second one reads the texts of the sample only. Of longer texts the sample has the
-    first `chars` characters; this bounds training, not the labelling.
+    One pass over keys and labels finds the greatest hash of each label's sample, of which every partition only passes on its
+    least `rows` ones; a second pass reads the texts of the sample.
     """
     labelled = df.select(label_language(F.col(lang)).alias("l"), F.xxhash64(key).alias("h"), F.col(text).alias("t"))
-    last: list = []
-    for code in LANGUAGES:
-        most = labelled.filter(F.col("l") == code).select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-        last += [F.lit(code), F.lit(most).cast("bigint")]
-    wanted = F.col("h") <= F.try_element_at(F.create_map(*last), F.col("l"))
-    got = labelled.filter(wanted).select("l", F.substring("t", 1, chars).alias("t")).filter("t is not null").toPandas()
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    most = labelled.filter(F.col("l").isin(*LANGUAGES)).select("l", "h").withColumn("place", place).filter(F.col("place") <= rows).groupBy("l").agg(F.max("h").alias("most")).collect()
+    if not most:
+        return fit_filters([], [])
+    last = F.create_map(*(x for r in most for x in (F.lit(r.l), F.lit(r.most).cast("bigint"))))
+    got = labelled.filter(F.col("h") <= F.try_element_at(last, F.col("l"))).select("l", "t").filter("t is not null").toPandas()
     return fit_filters(got["t"].tolist(), got["l"].tolist())
 
 

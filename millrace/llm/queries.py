@@ -18,7 +18,7 @@ SAMPLE_TEXTS = ["patient_context", "retrieved_evidence"]
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value of samples over 1,500 characters with the boundary that its cuts need."""
-    cut = split.split_oversized(table(spark, sf_dir, "samples"), ["sample_id"], SAMPLE_TEXTS)
+    cut = split.split_oversized(table(spark, sf_dir, "samples"), ["sample_id"], SAMPLE_TEXTS, with_text=False)
     return cut.select("sample_id", "field", "boundary").distinct()
 
 

@@ -47,3 +47,15 @@ def paragraph_ends(text: str) -> list[int]:
 def sentence_ends(text: str) -> list[int]:
     """Offsets after each sentence and the white space that follows it."""
     return [m.end() for m in _END.finditer(text) if text[m.start()] != "." or closes(text, m.start())]
+
+
+def sentence_bounds(text: str) -> tuple[list[int], list[int]]:
+    """(where each sentence's own text ends, where the next one begins)."""
+    found = [m for m in _END.finditer(text) if text[m.start()] != "." or closes(text, m.start())]
+    return [m.start() + len(m[0].rstrip()) for m in found], [m.end() for m in found]
+
+
+def paragraph_bounds(text: str) -> tuple[list[int], list[int]]:
+    """(where each paragraph's own text ends, where the next one begins)."""
+    found = list(BLANK_LINES.finditer(text))
+    return [m.start() for m in found], [m.end() for m in found]

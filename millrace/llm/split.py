@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.sentences import paragraph_ends, sentence_ends
+from millrace.llm.sentences import paragraph_bounds, paragraph_ends, sentence_bounds, sentence_ends
 
 _TOKENS = re.compile(r"\s+|[^\W_]+|[\W_]")
 
@@ -38,18 +38,31 @@ def token_offsets(text: str) -> list[int]:
     return out
 
 
-def boundary_of(text: str, limit: int, paragraphs: list[int] | None = None, ends: list[int] | None = None) -> str:
-    """`paragraph`, `sentence` or `none`: the finest cut that the text needs to get under the limit."""
-    edges = [0, *(paragraph_ends(text) if paragraphs is None else paragraphs), len(text)]
-    over = [(a, b) for a, b in zip(edges, edges[1:]) if b - a > limit and len(text[a:b].strip()) > limit]
-    if not over:
-        return "paragraph"
-    ends = sentence_ends(text) if ends is None else ends
-    for a, b in over:
-        inner = [a, *ends[bisect_right(ends, a) : bisect_right(ends, b - 1)], b]
-        if any(y - x > limit and len(text[x:y].strip()) > limit for x, y in zip(inner, inner[1:])):
-            return "none"
-    return "sentence"
+def boundary_of(text: str, limit: int, paragraphs: tuple[list[int], list[int]] | None = None, sentences: tuple[list[int], list[int]] | None = None) -> str:
+    """`paragraph`, `sentence` or `none`: the weakest boundary at which a text without overlap must be cut to get under the limit.
+
+    The same search as for pieces, over the places where paragraphs and sentences end without the white space
+    after them: from a piece's start, the last end in reach decides, paragraphs before sentences. A piece without either is over
+    the limit by itself.
+    """
+    paragraphs = paragraph_bounds(text) if paragraphs is None else paragraphs
+    sentences = sentence_bounds(text) if sentences is None else sentences
+    kind, start, end = "paragraph", 0, len(text.rstrip())
+    while end - start > limit:
+        cut = -1
+        for (ends, begins), name in ((paragraphs, "paragraph"), (sentences, "sentence")):
+            i = bisect_right(ends, start + limit) - 1
+            if i >= 0 and begins[i] > start:
+                cut = begins[i]
+                kind = name if name == "sentence" else kind
+                break
+        if cut < 0:
+            blank = len(text[start:]) - len(text[start:].lstrip())
+            if not blank:
+                return "none"
+            cut = start + blank  # white space that opens the text is no part of its first sentence
+        start = cut
+    return kind
 
 
 def pieces_of(text: str, limit: int, overlap: int, paragraphs: list[int] | None = None, ends: list[int] | None = None) -> list[tuple[int, int, str]]:
@@ -97,13 +110,13 @@ SPLIT_COLUMNS = T.StructType(
 )
 
 
-def split_oversized(df: DataFrame, keys: list[str], fields: list[str], limit: int = 1500, overlap: int = 150) -> DataFrame:
+def split_oversized(df: DataFrame, keys: list[str], fields: list[str], limit: int = 1500, overlap: int = 150, with_text: bool = True) -> DataFrame:
     """One row per value over the limit: the keys, `field`, `n_chars`, `boundary` and the ordered `pieces`.
 
     Lengths are code points. Values of exactly the limit, shorter, empty or null ones give no row. Rows
     are not compared with each other, so that a repeated row gives repeated results; an empty table gives
     none. Only the keys and fields are read; other columns may have any name, but a key may not be called
-    like a result column. The filter on length runs before the text goes to Python, without a shuffle.
+    like a result column. Without `with_text` the pieces have offsets only. The filter on length runs before the text goes to Python, without a shuffle.
     """
     clash = {"field", "n_chars", "boundary", "pieces", "_text"} & set(keys)
     if clash:
@@ -119,12 +132,12 @@ def split_oversized(df: DataFrame, keys: list[str], fields: list[str], limit: in
             texts = batch.column("_text").to_pylist()
             bounds, pieces = [], []
             for t in texts:
-                p, e = paragraph_ends(t), sentence_ends(t)
+                p, e = paragraph_bounds(t), sentence_bounds(t)
                 bounds.append(boundary_of(t, limit, p, e))
                 pieces.append(
                     [
-                        {"piece": i, "start": a, "end": b, "cut": c, "text": t[a:b]}
-                        for i, (a, b, c) in enumerate(pieces_of(t, limit, overlap, p, e))
+                        {"piece": i, "start": a, "end": b, "cut": c, "text": t[a:b] if with_text else None}
+                        for i, (a, b, c) in enumerate(pieces_of(t, limit, overlap, p[1], e[1]))
                     ]
                 )
             rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_text"]
