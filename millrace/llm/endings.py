@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.sentences import ABBREVIATIONS
-from millrace.llm.textarr import HAN, Ngrams, arrow_fields, chunks, codepoints
+from millrace.llm.textarr import HAN, Rolling, arrow_fields, chunks, codepoints
 from millrace.session import cut_lineage
 
 ORDERS = (64, 48, 32, 24, 16, 12, 8, 4)
@@ -47,6 +47,8 @@ _HAN = re.compile(f"[{HAN}]")
 
 def language_of(text: str) -> str:
     """`zh` or `latin`, by the share of Han characters: the groups that get a threshold each."""
+    if text.isascii():
+        return "latin"
     return "zh" if len(_HAN.findall(text)) * 4 > len(text) else "latin"
 
 
@@ -83,8 +85,12 @@ def closed(body: str) -> bool | None:
     return True
 
 
-def _fold(text: str) -> str:
-    return re.sub(r"\d", "9", text)
+def _folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one array with room for the longest context before each, all digits alike, and their starts."""
+    flat, starts = codepoints(["\n" * max(ORDERS) + t for t in texts])
+    flat = flat.copy()
+    flat[(flat >= 48) & (flat <= 57)] = 57
+    return flat, starts
 
 
 def _seed(group: str | None, lang: str) -> int:
@@ -97,10 +103,10 @@ def _final_hashes(bodies: list[str], seeds: list[int]) -> list[list[int]]:
     out = []
     own = np.array(seeds, dtype=np.uint64)
     for a, b in chunks(bodies):
-        flat, starts = codepoints(["\n" * max(ORDERS) + _fold(t)[-max(ORDERS) :] for t in bodies[a:b]])
-        grams = Ngrams(flat)
+        flat, starts = _folded([t[-max(ORDERS) :] for t in bodies[a:b]])
+        grams = Rolling(flat)
         last = starts[1:] - 2
-        out.append(np.stack([grams.of(n)[last] ^ np.uint64(n) ^ own[a:b] for n in ORDERS], axis=1).view(np.int64))
+        out.append(np.stack([grams.of(n, last) ^ np.uint64(n) ^ own[a:b] for n in ORDERS], axis=1).view(np.int64))
     return np.concatenate(out).tolist() if out else []
 
 
@@ -152,12 +158,11 @@ def continuations(df: DataFrame, group: str, text: str, wanted: np.ndarray) -> D
         pending: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            given = batch.column("_text").to_pylist()
-            seeds = np.array([_seed(g, language_of(t[-TAIL:])) for g, t in zip(batch.column("_group").to_pylist(), given)], dtype=np.uint64)
-            texts = [_fold(t) for t in given]
+            texts = batch.column("_text").to_pylist()
+            seeds = np.array([_seed(g, language_of(t[-TAIL:])) for g, t in zip(batch.column("_group").to_pylist(), texts)], dtype=np.uint64)
             for a, b in chunks(texts):
-                flat, starts = codepoints(["\n" * max(ORDERS) + t for t in texts[a:b]])
-                grams = Ngrams(flat)
+                flat, starts = _folded(texts[a:b])
+                grams = Rolling(flat)
                 following = np.append(flat[1:], 0)
                 stop = (flat == 46) | (flat == 0x3002)
                 space = following == 32
@@ -165,8 +170,8 @@ def continuations(df: DataFrame, group: str, text: str, wanted: np.ndarray) -> D
                 at = np.flatnonzero(goes_on)
                 own = np.repeat(seeds[a:b], np.diff(starts))
                 for n in ORDERS[::-1]:
-                    h = grams.of(n)[at] ^ np.uint64(n) ^ own[at]
-                    ok = keep[(h % np.uint64(BITMAP_BITS)).astype(np.int64)]
+                    h = grams.of(n, at) ^ np.uint64(n) ^ own[at]
+                    ok = keep[(h & np.uint64(BITMAP_BITS - 1)).view(np.int64)]
                     pending.append(h[ok])
                     held += len(pending[-1])
                     at = at[ok]  # a context that no text ends with has no longer one that does

@@ -109,7 +109,7 @@ def build_index(ids: list[str], texts: list[str]) -> ItemIndex:
     h = np.concatenate(hs) if hs else np.zeros(0, dtype=U64)
     order = np.argsort(h, kind="stable")
     known = np.zeros(min(MOST_BITS, max(LEAST_BITS, 1 << (16 * len(h)).bit_length())), dtype=bool)
-    known[(h % U64(len(known))).astype(np.int64)] = True
+    known[(h & U64(len(known) - 1)).view(np.int64)] = True
     pad = np.full(1, 1, dtype=np.uint32)  # no document has the characters 1 and 2
     return ItemIndex(
         ids, np.concatenate([*(x for s in streams for x in (s, pad)), pad]), base[:-1] + np.arange(len(ids)), np.concatenate([none, *ends]), np.concatenate([none, *(np.diff(e, prepend=0) for e in ends)]),
@@ -245,8 +245,8 @@ def scan(texts: list[str], index: ItemIndex, together: int = 64) -> list[list[tu
     items = len(index.ids)
     for a, b in chunks(texts):
         stream, starts = stream_of(texts[a:b])
-        h = Ngrams(stream).of(Q)[Q - 1 :: STEP]
-        hit = np.flatnonzero(index.known[(h % U64(len(index.known))).astype(np.int64)])
+        h = np.ascontiguousarray(Ngrams(stream).of(Q)[Q - 1 :: STEP])
+        hit = np.flatnonzero(index.known[(h & U64(len(index.known) - 1)).view(np.int64)])
         low = np.searchsorted(index.hashes, h[hit], "left")
         count = np.searchsorted(index.hashes, h[hit], "right") - low
         which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())

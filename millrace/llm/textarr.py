@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -70,6 +71,30 @@ class Ngrams:
         return self.by[n]
 
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0..n-1, modulo 2^64."""
+    out = []
+    for x in (int(BASE), pow(int(BASE), -1, 1 << 64)):
+        p = np.full(n, x, dtype=U64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=U64))
+    return out[0], out[1]
+
+
+class Rolling:
+    """The hashes that `Ngrams` gives, for any length, only where they are asked for."""
+
+    def __init__(self, flat: np.ndarray) -> None:
+        self.power, inverse = _powers(1 << max(20, int(len(flat)).bit_length()))
+        self.sums = np.zeros(len(flat) + 1, dtype=U64)
+        np.cumsum(mix(flat.astype(U64) + U64(1)) * inverse[: len(flat)], out=self.sums[1:])
+
+    def of(self, n: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the n-grams that end at the places `at`, all of them n - 1 or more."""
+        return (self.sums[at + 1] - self.sums[at + 1 - n]) * self.power[at]
+
+
 INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 
 

@@ -276,3 +276,12 @@ def test_pack_places(spark):
     assert sum(r.n_tokens for r in got if r.doc_id == 1000) == 250 and len([r for r in got if r.doc_id == 1000]) == 3
     assert {r.doc_id for r in got if r.sequence is None} == {1002, 1003} and len({r.doc_id for r in got}) == 304
     assert {r.doc_id for r in P.oversized(spark.createDataFrame(got), "doc_id").collect()} == {1000}
+
+
+def test_rolling_hashes_equal_those_of_ngrams():
+    from millrace.llm.textarr import Ngrams, Rolling
+
+    flat = np.random.default_rng(1).integers(0, 99, 5000).astype(np.uint32)
+    at = np.arange(64, 5000)
+    for n in (1, 2, 3, 8, 48, 64):
+        assert (Rolling(flat).of(n, at) == Ngrams(flat).of(n)[at]).all()
