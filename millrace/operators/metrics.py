@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,51 +97,127 @@ def paired_t(df: DataFrame, group: list[str], before: str, after: str) -> DataFr
     return s.select(*group, "n", F.try_divide(F.col("m"), F.nullif(F.col("s") / F.sqrt("n"), F.lit(0.0))).alias("t"))
 
 
-def bootstrap_mean(df: DataFrame, group: list[str], value: str, key: str, resamples: int = 200, seed: int = 7) -> DataFrame:
-    """(group, n, mean, low, high): percentile interval of the mean over Poisson resamples.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
-    Each row draws its weight in each resample from a hash of its key, so that the result doesn't depend
-    on partitioning and every resample is one partial aggregate; no group is gathered anywhere.
+
+def _uniform(key: np.ndarray, draws: int) -> np.ndarray:
+    """A number in 0..1 for each key and draw (splitmix64 of both)."""
+    x = key.astype(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def resampled_means(df: DataFrame, group: list[str], value: str, key: str, resamples: int, seed: int) -> DataFrame:
+    """(group, b, m): the mean of each of the Poisson resamples.
+
+    Each row draws its weights from a hash of its key, so that the result doesn't depend on partitioning. Every
+    batch passes on one vector of sums a group, so that rows are never multiplied and no group is gathered.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v"), F.xxhash64(F.lit(seed), key).alias("k"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*group).schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, part in pdf.groupby(group, dropna=False, sort=False):
+                w = np.zeros(resamples)
+                wv = np.zeros(resamples)
+                for s in range(0, len(part), 4096):
+                    some = part.iloc[s : s + 4096]
+                    weight = np.searchsorted(_POISSON, _uniform(some["k"].to_numpy(), resamples), "right")
+                    w += weight.sum(axis=0)
+                    wv += some["v"].to_numpy() @ weight
+                yield pd.DataFrame({**{g: [x] * resamples for g, x in zip(group, name)}, "b": np.arange(resamples), "w": w, "wv": wv})
+
+    sums = rows.mapInPandas(run, f"{fields}, b int, w double, wv double")
+    return sums.groupBy(*group, "b").agg(F.try_divide(F.sum("wv"), F.sum("w")).alias("m"))
+
+
+def bootstrap_mean(df: DataFrame, group: list[str], value: str, key: str, resamples: int = 200, seed: int = 7, floor_index: bool = False) -> DataFrame:
+    """(group, n, mean, low, high, p): percentile interval of the mean, and the two-sided p of a mean of zero.
+
+    The ends are interpolated, or with `floor_index` the resamples at places floor(.025 B) and floor(.975 B).
+    """
+    means = resampled_means(df, group, value, key, resamples, seed)
+    ends = [F.percentile("m", F.lit(q)) for q in (0.025, 0.975)]
+    if floor_index:
+        ends = [F.sort_array(F.collect_list("m"))[int(q * resamples)] for q in (0.025, 0.975)]  # one number a resample
+    tail = lambda c: (F.count_if(c) + 1) / (F.count("*") + 1)
+    p = F.least(F.lit(1.0), 2 * F.least(tail(F.col("m") <= 0), tail(F.col("m") >= 0)))
+    got = means.groupBy(*group).agg(ends[0].alias("low"), ends[1].alias("high"), p.alias("p"))
+    return df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(got, group)
+
+
+def macro_bootstrap(df: DataFrame, strata: list[str], value: str, key: str, resamples: int = 200, seed: int = 7) -> DataFrame:
+    """One row (n_strata, mean, low, high): the mean of the strata's means, resampled within strata."""
+    means = resampled_means(df, strata, value, key, resamples, seed).groupBy("b").agg(F.avg("m").alias("m"))
+    whole = df.filter(F.col(value).isNotNull()).groupBy(*strata).agg(F.avg(value).alias("x")).agg(F.count("*").alias("n_strata"), F.avg("x").alias("mean")).withColumn("_", F.lit(1))
+    ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).withColumn("_", F.lit(1))
+    return whole.join(ends, "_").drop("_")  # two one-row tables
+
+
+def label_bootstrap(df: DataFrame, group: list[str], label: str, labels: list[str], key: str, resamples: int = 200, seed: int = 7) -> DataFrame:
+    """(group, label, n, mean, low, high) of the share of each label; null labels don't count."""
+    long = df.filter(F.col(label).isNotNull()).select(*group, key, F.explode(F.array(*(F.struct(F.lit(x).alias("label"), (F.col(label) == x).cast("double").alias("v")) for x in labels))).alias("e")).select(*group, key, "e.*")
+    return bootstrap_mean(long, [*group, "label"], "v", key, resamples, seed).drop("p")
+
+
+def signed_rank_p(differences: np.ndarray) -> tuple[float, float]:
+    """(W of the positive differences, exact two-sided p); zeros must be gone.
+
+    The distribution of the sum of doubled ranks is a polynomial product, of n (n + 1) / 2 steps a rank.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v"), key)
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("b"), key), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight, reached, p = F.lit(8), 1.0, 0.0
-    steps = []
-    for k in range(8):
-        p += math.exp(-1) / math.factorial(k)
-        steps.append((p, k))
-    for p, k in reversed(steps):
-        weight = F.when(F.col("u") < p, k).otherwise(weight)
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("u", u).withColumn("w", weight)
-    means = drawn.groupBy(*group, "b").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w").cast("double")).alias("m"))
-    ends = means.groupBy(*group).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(ends, group)
-
-
-def wilcoxon_exact(df: DataFrame, group: list[str], difference: str, most: int = 20) -> DataFrame:
-    """(group, n, w, p): exact signed-rank test of small groups; p is null for groups of more than `most` pairs.
-
-    Differences of zero don't count. The exact distribution has 2^n signs, hence the bound on n; a group
-    over it is counted by an aggregate and never gathered.
+    rank = np.rint(2 * pd.Series(np.abs(differences)).rank().to_numpy()).astype(np.int64)
+    w = int(rank[differences > 0].sum())
+    chance = np.zeros(int(rank.sum()) + 1)
+    chance[0] = 1.0
+    for r in rank:
+        chance[r:] = 0.5 * (chance[r:] + chance[: len(chance) - r])
+        chance[:r] *= 0.5
+    return w / 2, float(min(1.0, 2 * min(chance[: w + 1].sum(), chance[w:].sum())))
+
+
+def wilcoxon_exact(df: DataFrame, group: list[str], difference: str) -> DataFrame:
+    """(group, n, w, p): exact signed-rank test; differences of zero don't count, a group without others gives no row.
+
+    A group's differences are gathered in one task, as numbers: the test is for paired results of a sample, and
+    its work grows with the cube of their number.
     """
     known = df.filter((F.col(difference) != 0) & F.col(difference).isNotNull()).select(*group, F.col(difference).cast("double").alias("d"))
-    sized = known.groupBy(*group).agg(F.count("*").alias("n"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.select(*group).schema.fields) + ", w double, p double"
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        rank = pdf["d"].abs().rank()
-        w = float(rank[pdf["d"] > 0].sum())
-        sums = {0.0: 1}
-        for r in rank:
-            nxt: dict[float, int] = {}
-            for s, c in sums.items():
-                nxt[s] = nxt.get(s, 0) + c
-                nxt[s + r] = nxt.get(s + r, 0) + c
-            sums = nxt
-        whole = 2 ** len(rank)
-        low = sum(c for s, c in sums.items() if s <= w) / whole
-        high = sum(c for s, c in sums.items() if s >= w) / whole
-        return pdf[group].head(1).assign(w=w, p=min(1.0, 2 * min(low, high)))
-
-    small = known.join(sized.filter(F.col("n") <= most).select(*group), group, "left_semi").groupBy(*group).applyInPandas(test, schema)
-    return sized.join(small, group, "left")
+    gathered = known.groupBy(*group).agg(F.count("*").alias("n"), F.collect_list("d").alias("_d"))
+
+    @F.pandas_udf("struct<w double, p double>")
+    def test(d: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([signed_rank_p(np.asarray(x)) for x in d], columns=["w", "p"])
+
+    return gathered.select(*group, "n", test("_d").alias("t")).select(*group, "n", "t.w", "t.p")
+
+
+def overall_scores(matrix: DataFrame) -> DataFrame:
+    """One row (n, accuracy, macro_f1) of a confusion table; the mean of F1 over all labels of its domain."""
+    labels = precision_recall(matrix).agg(F.avg("f1").alias("macro_f1")).withColumn("_", F.lit(1))
+    total = matrix.agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("gold") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")).withColumn("_", F.lit(1))
+    return total.join(labels, "_").drop("_")
+
+
+def confusion_wide(matrix: DataFrame, domain: list[str]) -> DataFrame:
+    """gold and one column for each predicted label."""
+    return matrix.groupBy("gold").pivot("predicted", domain).agg(F.sum("n"))
+
+
+def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """The value at rank round(q (n - 1)), half to even, counted from 0, for each named share; nulls don't count."""
+    v = F.col(value)
+    sizes = df.filter(v.isNotNull()).groupBy(*group).agg(F.count("*").alias("_n"))
+    at = {n: F.bround(q * (F.col("_n") - 1)) for n, q in shares.items()}
+    counts = df.filter(v.isNotNull()).groupBy(*group, v.alias("_v")).agg(F.count("*").alias("_c"))
+    # Distinct values with their counts: the first one whose running count is over the rank.
+    from pyspark.sql.window import Window
+
+    run = counts.withColumn("_run", F.sum("_c").over(Window.partitionBy(*group).orderBy("_v"))).join(sizes, group)
+    return run.groupBy(*group).agg(*(F.min(F.when(F.col("_run") > p, F.col("_v"))).alias(n) for n, p in at.items()))
+
+
+def strata(df: DataFrame, group: list[str], a: Column, b: Column) -> DataFrame:
+    """(group, both_right, only_a, only_b, both_wrong) of two systems' correctness."""
+    return df.groupBy(*group).agg(F.count_if(a & b).alias("both_right"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("both_wrong"))

@@ -125,3 +125,54 @@ def pivot_first(df: DataFrame, row: str, column: str, value: str, order: str, co
     """row x column with the first value in `order`; "" where there is none. The columns are stated, so no pass finds them."""
     firsts = [F.coalesce(F.min_by(value, F.when(F.col(column) == c, F.col(order))).cast("string"), F.lit("")).alias(c) for c in columns]
     return df.groupBy(row).agg(*firsts)
+
+
+def join_all(left: DataFrame, key: str, others: dict[str, DataFrame], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(joined rows, reasons): each left row that all other tables have, with their columns, and (key, skip_reason) of the rest.
+
+    Of repeated keys in another table the last in `order` counts; without an order the greatest row. Columns of the others are
+    named after their table.
+    """
+    out = left
+    for name, other in others.items():
+        rest = [c for c in other.columns if c != key]
+        by = [F.col(order)] if order else [F.struct(*rest)]
+        one = latest_by(other.filter(F.col(key).isNotNull()), [key], by)
+        out = out.join(one.select(key, *(F.col(c).alias(f"{name}_{c}") for c in rest), F.lit(True).alias(f"_{name}")), key, "left")
+    reason = F.when(F.col(key).isNull(), "null_key")
+    for name in others:
+        reason = reason.when(F.col(f"_{name}").isNull(), f"missing_{name}")
+    marked = out.withColumn("skip_reason", reason).drop(*(f"_{n}" for n in others))
+    return marked.filter("skip_reason is null").drop("skip_reason"), marked.filter("skip_reason is not null").select(key, "skip_reason")
+
+
+def paired(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, side, before, after): rows of both tables as structs; side is `both`, `before` or `after`, the one that has it."""
+    a = before.select(F.col(key), F.struct(*[c for c in before.columns if c != key]).alias("before"))
+    b = after.select(F.col(key), F.struct(*[c for c in after.columns if c != key]).alias("after"))
+    side = F.when(F.col("before").isNull(), "after").when(F.col("after").isNull(), "before").otherwise("both")
+    return a.join(b, key, "full_outer").select(key, side.alias("side"), "before", "after")
+
+
+def collisions(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
+    """(key, n_base, n_delta) of the keys that are in both or more than once in either."""
+    n = base.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(delta.select(key, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    counts = n.groupBy(key).agg(F.sum("_a").alias("n_base"), F.sum("_b").alias("n_delta"))
+    return counts.filter("n_base + n_delta > 1")
+
+
+def merge_disjoint(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
+    """The union of both; an error that names a key if one is in both or repeated."""
+    first = collisions(base, delta, key).limit(1).collect()
+    if first:
+        raise ValueError(f"{key} {first[0][0]!r} is not unique")
+    return base.unionByName(delta)
+
+
+def bands(df: DataFrame, score: str, key: str, n: int, middle: float = 0.5) -> DataFrame:
+    """`band` and `place`: the n highest, the n lowest and the n nearest to `middle`, ties by key; a row may be in several."""
+    parts = []
+    for name, order in (("high", F.desc(score)), ("low", F.asc(score)), ("middle", F.abs(F.col(score) - middle).asc())):
+        top = df.filter(F.col(score).isNotNull()).orderBy(order, key).limit(n)
+        parts.append(top.withColumn("band", F.lit(name)).withColumn("place", F.row_number().over(Window.orderBy(order, key))))  # n rows
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

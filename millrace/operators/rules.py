@@ -16,11 +16,12 @@ from pyspark.sql.window import Window
 from millrace.functions import text as X
 
 # Ordered rules, the first that holds decides.
+MODALITIES = ("mri", "pet", "ct", "mrcp", "ultrasound", "biopsy", "histology", "histopath", "immunohist", "endoscopy", "radiograph", "x-ray", "xray", "fna")
 QUERY_RULES = (
-    ("differential", r"\b(?:versus|vs|differential|rather than|or)\b"),
-    ("modality", r"\b(?:imaging|ct|mri|biopsy|ultrasound|endoscopy|electrocardiogram|testing)\b"),
-    ("clinical", r"\b(?:presents?|history|examination|symptoms?|fever|pain|patient)\b"),
-    ("claim", r"\b(?:therefore|diagnosis|likely|supports?|suggests?|points toward)\b"),
+    ("differential diagnosis", "differential diagnosis"),
+    ("clinical features", "clinical features"),
+    ("modality/procedure-heavy", rf"\b(?:{'|'.join(MODALITIES)})\b"),
+    ("claimish", r"\b(?:was|were|is|are)\b"),
 )
 ROLE_RULES = (
     ("C", r"(?i)final answer|most likely diagnosis|therefore|consistent picture"),
@@ -39,9 +40,13 @@ def first_rule(text: Column, rules: tuple[tuple[str, str], ...], otherwise: str)
 
 
 def query_bucket(text: Column) -> Column:
-    """What a retrieval query looks like; `short` up to three tokens, null for a blank one."""
-    n = F.size(X.tokens(text))
-    return F.when(n == 0, F.lit(None).cast("string")).when(n <= 3, "short").otherwise(first_rule(F.lower(text), QUERY_RULES, "other"))
+    """What a retrieval query looks like by the first rule that holds, else `short<=3` up to three words; null for any other and for a blank one."""
+    low = F.lower(X.normalize_text(text))
+    short = F.when(F.size(F.split(low, r"(?U)\s+")) <= 3, "short<=3")
+    named = short
+    for name, pattern in reversed(QUERY_RULES):
+        named = F.when(low.rlike(pattern), name).otherwise(named)
+    return F.when(low != "", named)
 
 
 def heuristic_checks(target: Column, source: Column, similarity: Column, same_answer: Column, expected_same: Column) -> Column:

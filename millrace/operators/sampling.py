@@ -83,3 +83,48 @@ def calibration_split(df: DataFrame, stratum: str, key: str, share: float, seed:
     take = F.when(n < 2, 0).otherwise(F.least(F.greatest(F.round(n * share), F.lit(1)), n - 1))
     rank = F.row_number().over(own.orderBy(seeded_order(F.col(key), seed), key))
     return df.withColumn("part", F.when(rank <= take, "calibration").otherwise("evaluation"))
+
+
+def equal_quota(df: DataFrame, buckets: list[str], key: str, total: int, seed: str) -> DataFrame:
+    """`total` rows shared out equally at every level of `buckets`, what a small bucket can't give going to the others.
+
+    A round-robin: within the finest bucket rows follow their hash, at every level the buckets take turns, and the
+    first `total` rows of that order are the sample. Buckets may be null. No counts reach the driver.
+    """
+    out = df.withColumn("_r", seeded_order(F.col(key), seed))
+    order: list = ["_r", key]
+    for level in range(len(buckets), 0, -1):
+        w = Window.partitionBy(*buckets[:level]).orderBy(*order)
+        # No row over the total at any level can be in the sample; the engine limits groups before it sorts them.
+        out = out.withColumn("_turn", F.row_number().over(w)).filter(F.col("_turn") <= total)
+        out = out.withColumn("_r", F.col("_turn")).drop("_turn")
+        order = ["_r", F.col(buckets[level - 1]).asc_nulls_first(), key]
+    return out.orderBy(*order).limit(total).drop("_r")
+
+
+def exact_sample(df: DataFrame, key: str, n: int, seed: str, allow_short: bool = False) -> DataFrame:
+    """The n rows of least hash; an error if there are fewer, unless that is allowed."""
+    if not allow_short and df.limit(n).count() < n:
+        raise ValueError(f"fewer than {n} rows")
+    return df.orderBy(seeded_order(F.col(key), seed), key).limit(n)
+
+
+def balanced_calibration(df: DataFrame, strata: list[str], key: str, share: float, seed: str) -> DataFrame:
+    """`part` like `calibration_split`, brought to round(n * share) calibration rows of all.
+
+    Where the strata give more, the calibration rows of least hash stay; where they give fewer, the other rows of least
+    hash are added. Ranks are counted by hash bucket, so that no task sees all rows.
+    """
+    total = df.count()
+    target = max(1, min(total - 1, round(total * share))) if total > 1 and share > 0 else 0
+    own = Window.partitionBy(*strata)
+    n = F.count("*").over(own)
+    take = F.when(n < 2, 0).otherwise(F.least(F.greatest(F.round(n * share), F.lit(1)), n - 1))
+    order = seeded_order(F.col(key), seed)
+    chosen = df.withColumn("_h", order).withColumn("_first", F.row_number().over(own.orderBy("_h", key)) <= take)
+    # Chosen rows come first in the order that the target cuts; the hash's first digits make the buckets.
+    placed = chosen.withColumn("_b", F.concat(F.when(F.col("_first"), "0").otherwise("1"), F.substring("_h", 1, 3)))
+    sizes = placed.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))  # at most 8,192 rows
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    return placed.join(F.broadcast(before), "_b").withColumn("part", F.when(rank <= target, "calibration").otherwise("evaluation")).drop("_h", "_first", "_b", "_before")

@@ -85,11 +85,26 @@ def route_scores(spark, d):
 
 @query(f"""with r as (select id, 0.6 * coalesce(list_max(topo_mask), 0) + 0.4 * case when len(topo_mask) = 0 then 0 else len(list_filter(topo_mask, lambda x: x > 0.1))::double / len(topo_mask) end
     + 0.1 * case when len(topo_mask) = 0 then 0 else list_sum(topo_mask) / len(topo_mask) end raw from {PR})
-    select id, round(least(raw, 1.0), 6) risk, round(raw / 1.1, 6) severity, round(least(3 * least(raw, 1.0), 2.5), 6) margin from r""")
+    select id, least(raw, 1.0) risk, least(3 * least(raw, 1.0), 2.5) margin from r""")
 def row_risk(spark, d):
-    """Risk, normalised severity and margin of each row's units."""
+    """Risk and margin of each row's units."""
+    risk = C.row_risk(F.col("topo_mask"))
+    return prefs(spark, d).select("id", risk.alias("risk"), C.margin(risk).alias("margin"))
+
+
+@query(f"""with r as (select id, 0.6 * coalesce(list_max(topo_mask), 0) + 0.4 * case when len(topo_mask) = 0 then 0 else len(list_filter(topo_mask, lambda x: x > 0.1))::double / len(topo_mask) end
+    + 0.1 * case when len(topo_mask) = 0 then 0 else list_sum(topo_mask) / len(topo_mask) end raw from {PR}) select id, raw / (0.6 + 0.4 + 0.1) severity from r""")
+def row_severity(spark, d):
+    """The normalised severity of each row's units."""
+    return prefs(spark, d).select("id", C.row_risk(F.col("topo_mask"), "paper").alias("severity"))
+
+
+@query(f"""with r as (select id, list_max(topo_mask) peak, len(list_filter(topo_mask, lambda x: x > 0.1))::double / len(topo_mask) share, list_sum(topo_mask) / len(topo_mask) mean from {PR} where len(topo_mask) > 0)
+    select id, least(0.6 * peak + 0.4 * greatest(0.5 - share, 0) + 0.1 * mean, 1.0) risk from r""")
+def coverage_risk(spark, d):
+    """Risk with a penalty for covering less than half of the row's units."""
     m = F.col("topo_mask")
-    return prefs(spark, d).select("id", F.round(C.row_risk(m), 6).alias("risk"), F.round(C.row_risk(m, "paper"), 6).alias("severity"), F.round(C.margin(C.row_risk(m)), 6).alias("margin"))
+    return prefs(spark, d).filter("size(topo_mask) > 0").select("id", C.coverage_risk(m, A.share_over(m, C.TAU), F.lit(0.5), F.lit(False)).alias("risk"))
 
 
 @query(f"""with t as (select id, list_filter([case when expected_answer_preserved and not answer_preserved then 'answer_changed' end, case when not llm_qc.target_type_matched then 'label_mismatch' end,

@@ -240,13 +240,13 @@ def baseline_self_join(spark, d):
 
 
 @query("""with x as (select id, margin, ingested_at, 0 side from preference_row union all select id, risk_score::double, returned_at, 1 from review_sample)
-    select id, arg_max(margin, (side, ingested_at, margin)) margin, max(side) side from x where id is not null group by id""")
+    select id, arg_max(margin, (side, ingested_at, margin)) margin from x where id is not null group by id union all select id, margin from x where id is null""")
 def ordered_upsert(spark, d):
-    """Margins, overridden by the review's risk score: the later side wins, then the later row."""
-    base = table(spark, d, "preference_row").select("id", "margin", "ingested_at", F.lit(0).alias("side"))
-    delta = table(spark, d, "review_sample").select("id", F.col("risk_score").try_cast("double").alias("margin"), F.col("returned_at").alias("ingested_at"), F.lit(1).alias("side"))
-    both = base.unionByName(delta).filter("id is not null")
-    return both.groupBy("id").agg(F.max_by("margin", F.struct("side", "ingested_at", "margin")).alias("margin"), F.max("side").alias("side"))
+    """Margins, overridden by the review's risk score: the later side wins, then the later row; rows without an id stay."""
+    base = table(spark, d, "preference_row").select("id", "margin", F.struct("ingested_at", "margin").alias("at"))
+    score = F.col("risk_score").try_cast("double")
+    delta = table(spark, d, "review_sample").select("id", score.alias("margin"), F.struct(F.col("returned_at").alias("ingested_at"), score.alias("margin")).alias("at"))
+    return R.upsert(base, delta, ["id"], "at").select("id", "margin")
 
 
 @query("select id, status from " + NP + " n where not exists (select 1 from review_sample r where r.id = n.id)")
@@ -284,10 +284,10 @@ def group_summary_rates(spark, d):
     )
 
 
-@query("""select coalesce(l_returnflag, 'overall') flag, count(*) n, round(sum(l_extendedprice), 2) price, round(avg(l_discount), 6) discount from lineitem group by rollup (l_returnflag)""")
+@query("""select coalesce(l_returnflag, 'overall') flag, count(*) n, sum(l_extendedprice::decimal(18, 2))::double price, sum(l_discount::decimal(18, 4))::double / count(*) discount from lineitem group by rollup (l_returnflag)""")
 def overall_and_key(spark, d):
     """Per flag and overall in one pass."""
-    return table(spark, d, "lineitem").rollup("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.round(F.avg("l_discount"), 6).alias("discount")).select(F.coalesce("l_returnflag", F.lit("overall")).alias("flag"), "n", "price", "discount")
+    return table(spark, d, "lineitem").rollup("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("price"), (F.sum(F.col("l_discount").cast("decimal(18,4)")).cast("double") / F.count("*")).alias("discount")).select(F.coalesce("l_returnflag", F.lit("overall")).alias("flag"), "n", "price", "discount")
 
 
 @query(f"""select id, len(topo_mask) n_units, round(case when len(topo_mask) = 0 then 0 else list_sum(topo_mask) / len(topo_mask) end, 9) mean_weight, round(coalesce(list_max(topo_mask), 0), 9) peak,

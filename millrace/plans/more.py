@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import rules as U
-from millrace.plans.core import NP, PR, SM, norm_sql, pairs, prefs, query, reviews, samples, tok_sql
+from millrace.plans.core import NP, PR, SM, TRIM, norm_sql, pairs, prefs, query, reviews, samples, tok_sql
 from millrace.session import table
 
 
@@ -13,11 +13,16 @@ def _case(c: str, rules, other: str, fold: str = "") -> str:
     return "case " + " ".join(f"when regexp_matches({c}, '{fold}{p}') then '{n}'" for n, p in rules) + f" else '{other}' end"
 
 
-@query(f"""with q as (select id, lower(coalesce(rewrite_target_span, '')) t, len({tok_sql("rewrite_target_span")}) n from {NP})
-    select id, case when n = 0 then null when n <= 3 then 'short' else {_case("t", U.QUERY_RULES, "other")} end bucket from q""")
+_QUERIES = f"""(select id, {TRIM.format(c="rewrite_target_span")} q from {NP} union all select id, {TRIM.format(c="generation_plan.rationale")} from {NP} union all select id, {TRIM.format(c="final_answer")} || ' differential diagnosis' from {NP})"""
+
+
+@query(rf"""select bucket, count(*) n from (select case when q = '' then null when contains(lower(q), 'differential diagnosis') then 'differential diagnosis' when contains(lower(q), 'clinical features') then 'clinical features'
+    when regexp_matches(lower(q), '\b(mri|pet|ct|mrcp|ultrasound|biopsy|histology|histopath|immunohist|endoscopy|radiograph|x-ray|xray|fna)\b') then 'modality/procedure-heavy' when regexp_matches(lower(q), '\b(was|were|is|are)\b') then 'claimish'
+    when len(regexp_split_to_array(q, '[\s\p{{Z}}]+')) <= 3 then 'short<=3' end bucket from {_QUERIES}) group by bucket""")
 def query_buckets(spark, d):
-    """What kind of retrieval query each target span would make."""
-    return pairs(spark, d).select("id", U.query_bucket(F.col("rewrite_target_span")).alias("bucket"))
+    """How many retrieval queries of each kind the target spans, plans and answers would make."""
+    n = pairs(spark, d).select("id", F.explode(F.array(F.col("rewrite_target_span"), F.col("generation_plan.rationale"), F.concat(F.coalesce("final_answer", F.lit("")), F.lit(" differential diagnosis")))).alias("q"))
+    return n.groupBy(U.query_bucket(F.col("q")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query(f"""with t as (select id, reasoning r, negative_reasoning n, {tok_sql("reasoning")} s, {tok_sql("negative_reasoning")} t, {norm_sql("reasoning")} rn, {norm_sql("negative_reasoning")} nn, heuristic_qc.similarity sim, answer_preserved a, expected_answer_preserved e from {NP}),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import advanced, core, more
+from millrace.plans import advanced, core, evaluation, more
 
-assert advanced and more  # its queries register themselves on import
+assert advanced and evaluation and more  # its queries register themselves on import
 
 QUERIES = {**core.QUERIES}
 ORACLES = {**core.ORACLES}

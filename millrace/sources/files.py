@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import platform
 from pathlib import Path
@@ -30,8 +31,56 @@ def split_bad_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col(BAD).isNull()).drop(BAD), df.filter(F.col(BAD).isNotNull())
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, quoted fields may hold line breaks; an empty field is an empty string."""
+def bad_row_report(bad: DataFrame, preview: int = 5, width: int = 160) -> DataFrame:
+    """One row (n_bad, preview): how many lines a tolerant read couldn't parse, and the beginnings of the first few in text order."""
+    shown = bad.select(F.substring(BAD, 1, width).alias("line")).orderBy("line").limit(preview).agg(F.sort_array(F.collect_list("line")).alias("preview"))
+    return bad.agg(F.count("*").alias("n_bad")).withColumn("_", F.lit(1)).join(shown.withColumn("_", F.lit(1)), "_").drop("_")
+
+
+def read_window(spark: SparkSession, path: str, start: int, end: int = -1) -> DataFrame:
+    """(ordinal, value): the lines start..end-1 of a text file or folder in file order, counted from 0; no bound for a negative end.
+
+    Ordinals follow the files' names and the lines in them; a first pass counts the lines of each partition.
+    """
+    lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_path")).withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    sizes = lines.groupBy(part.alias("_part")).agg(F.count("*").alias("n"), F.min(F.struct("_file", F.col("_id"))).alias("first")).orderBy("first").collect()  # one row a partition
+    before, total = {}, 0
+    for r in sizes:
+        before[r["_part"]] = total
+        total += r.n
+    offset = F.create_map(*(x for k, n in before.items() for x in (F.lit(k), F.lit(n)))) if before else F.create_map().cast("map<bigint,bigint>")
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = lines.select((F.try_element_at(offset, part) + inside).cast("long").alias("ordinal"), "value")
+    return numbered.filter((F.col("ordinal") >= start) & (F.lit(end < 0) | (F.col("ordinal") < end)))
+
+
+def read_ids(spark: SparkSession, path: str, column: str = "id") -> DataFrame:
+    """(id, ord): the distinct non-blank ids of a list in any readable form, in the order of their first place."""
+    rows = read_records(spark, path).select(F.trim(F.col(column).cast("string")).alias("id"), F.monotonically_increasing_id().alias("at")).filter("id <> ''")
+    return rows.groupBy("id").agg(F.min("at").alias("ord"))
+
+
+def read_config(path: str, defaults: dict | None = None) -> dict:
+    """A JSON or, where a parser is there, YAML document over its defaults, nested ones key by key."""
+    text = Path(path).read_text()
+    if Path(path).suffix.lower() in (".yaml", ".yml"):
+        import yaml
+
+        own = yaml.safe_load(text) or {}
+    else:
+        own = json.loads(text)
+
+    def over(a: dict, b: dict) -> dict:
+        return {k: over(a[k], b[k]) if isinstance(a.get(k), dict) and isinstance(b.get(k), dict) else b.get(k, a.get(k)) for k in {**a, **b}}
+
+    return over(defaults or {}, own)
+
+
+def read_csv(spark: SparkSession, path: str, typed: bool = False) -> DataFrame:
+    """Quoted fields may hold line breaks. All columns as strings, an empty field an empty string; or `typed`: types inferred, empty fields null."""
+    if typed:
+        return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=True)
     rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
     return rows.fillna("")
 
@@ -64,8 +113,13 @@ def flatten_map_of_lists(df: DataFrame, payload: str, element: T.StructType, sou
 
 
 def read_many(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """JSON documents of several paths or globs, with the file that each row came from."""
-    return spark.read.json(patterns, multiLine=True).withColumn("source_file", F.col("_metadata.file_path"))
+    """JSON documents of several paths or globs, each file once, with the file that each row came from."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found = set()
+    for p in patterns:
+        target = hadoop.Path(p)
+        found |= {str(s.getPath()) for s in target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []}
+    return spark.read.json(sorted(found), multiLine=True).withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
@@ -88,6 +142,43 @@ def write_csv(df: DataFrame, path: str, order: str = "first_seen") -> None:
     df.select(*flat).write.mode("overwrite").csv(path, header=True, nullValue="", quote='"', escape='"')
 
 
+def write_union(frames: list[DataFrame], path: str, order: str = "first_seen") -> None:
+    """One CSV of tables with different columns: the union of all columns, by first appearance or by name; missing cells are empty."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    write_csv(out, path, order)
+
+
+def finite(value):
+    """The value with NaN and infinities as null, inside lists and objects too."""
+    if isinstance(value, dict):
+        return {k: finite(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [finite(v) for v in value]
+    return None if isinstance(value, float) and not math.isfinite(value) else value
+
+
+def write_document(payload: dict | list, path: str) -> None:
+    """A JSON document, indented, with a line break at its end; written beside and renamed, so that readers see the old or the new one."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    beside = target.with_name(f".{target.name}.{os.getpid()}")
+    beside.write_text(json.dumps(finite(payload), indent=2, ensure_ascii=False) + "\n")
+    os.replace(beside, target)
+
+
+def annotation_sheet(df: DataFrame, shown: list[str], asked: list[str]) -> DataFrame:
+    """The shown columns and a blank one for each thing asked of the annotator; nested cells as JSON."""
+    flat = [F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(c) for c in shown]
+    return df.select(*flat, *(F.lit("").alias(a) for a in asked))
+
+
+def open_jobs(jobs: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
+    """The jobs to hand out: those whose key no result has, each key once."""
+    return jobs.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(done.select(key).distinct(), key, "left_anti")
+
+
 def write_routed(df: DataFrame, path: str, by: str = "status") -> None:
     """One folder for each terminal status, in one pass."""
     df.write.mode("overwrite").partitionBy(by).json(path)

@@ -182,9 +182,19 @@ def test_tfidf_join_against_brute_force(spark):
 
 
 def test_claim_history_quotas(spark):
-    units = [("x", i, k, s, f"{k}{i}") for i, (k, s) in enumerate([("O", 0.1), ("O", 0.9), ("W", 0.0), ("C", 0.2), ("C", 0.2), ("C", 0.2)])]
-    got = {r.pos: r.premise for r in C.claim_history(spark.createDataFrame(units, "id string, pos int, kind string, score double, text string"), "id", "pos", "kind", "score", "text").collect()}
-    assert got == {3: "O0 W2", 4: "O0 W2 C3", 5: "O0 W2 C4"}
+    said = ["fever of two weeks", "chest pain at rest", "anemia often causes fatigue", "weight loss points to cancer", "iron loss explains pallor", "it is gastric cancer", "it is colon cancer", "the colon cancer is consistent with pallor"]
+    units = [("x", i, k, s, t) for i, ((k, s), t) in enumerate(zip([("O", 0.1), ("O", 0.9), ("W", 0.0), ("D", 0.5), ("W", 0.6), ("C", 0.2), ("C", 0.4), ("C", 0.3)], said))]
+    got = {r.pos: r.premise.split("\n") for r in C.claim_history(spark.createDataFrame(units, "id string, pos int, kind string, score double, text string"), "id", "pos", "kind", "score", "text").collect()}
+    theories = ["[O] " + said[0], "[O] " + said[1], "[W] " + said[2], "[D] " + said[3]]
+    assert got == {5: theories, 6: [*theories, "[C] " + said[5]], 7: [*theories, "[C] " + said[5]]}
+
+
+def test_premise_gates():
+    assert C.premise_of([("O", "scan", 0.0, False), ("O", "in the liver", 0.0, False), ("O", "fever", 0.0, True)], "it is gout") == ""
+    assert C.premise_of([("O", "cultures grew nothing", 0.0, False)], "sepsis was ruled out") == ""
+    assert C.premise_of([("O", "cultures were negative today", 0.0, False)], "sepsis was ruled out") == "[O] cultures were negative today"
+    old = [("C", "gout comes first", 0.1, False), ("W", "x likes y", 0.9, False), ("W", "y likes z", 0.9, False)]
+    assert C.premise_of(old, "it is gout") == "[C] gout comes first"  # too far back but for the fallback
 
 
 def test_sequence_similarity_compares_canonical_reasoning(spark, tmp_path):
