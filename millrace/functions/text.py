@@ -72,9 +72,14 @@ def match_score(a: Column, b: Column) -> Column:
 
 
 def novelty(target: Column, source: Column) -> Column:
-    """The share of token occurrences of `target` that `source` doesn't have; 1 for no token."""
-    t, s = tokens(target), tokens(source)
-    return F.when(F.size(t) == 0, F.lit(1.0)).otherwise(F.size(F.filter(t, lambda x: ~F.array_contains(s, x))) / F.size(t))
+    """The share of token occurrences of `target` that `source` doesn't have; 1 for no token.
+
+    Both token lists are bound once, in an array of one struct: inside the inner function they would be made for each token.
+    """
+    t = tokens(target)
+    once = F.array(F.struct(t.alias("t"), F.array_except(t, tokens(source)).alias("new")))
+    share = F.transform(once, lambda p: F.when(F.size(p["t"]) == 0, F.lit(1.0)).otherwise(F.size(F.filter(p["t"], lambda x: F.array_contains(p["new"], x))) / F.size(p["t"])))
+    return share[0]
 
 
 def length_ratio(target: Column, source: Column) -> Column:
