@@ -211,9 +211,11 @@ def mcnemar_counts(spark, d):
     return M.mcnemar(pairs(spark, d), "error_symbol", F.col("answer_preserved"), F.col("expected_answer_preserved")).drop("p")
 
 
-@query()
+@query(f"""with c as (select error_symbol, count(*) filter (answer_preserved and not expected_answer_preserved) only_a, count(*) filter (expected_answer_preserved and not answer_preserved) only_b from {NP} group by 1), k as (select *, only_a + only_b n, least(only_a, only_b) k from c)
+    select error_symbol, only_a, only_b, round(case when n = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(generate_series(0, k), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) end, 6) p from k""")
 def mcnemar_p(spark, d):
-    return M.mcnemar(pairs(spark, d), "error_symbol", F.col("answer_preserved"), F.col("expected_answer_preserved"))
+    """Discordant counts of two flags with their exact p."""
+    return M.mcnemar(pairs(spark, d), "error_symbol", F.col("answer_preserved"), F.col("expected_answer_preserved")).withColumn("p", F.round("p", 6))
 
 
 @query()
