@@ -150,7 +150,9 @@ def _md5(seed: str, key: str = "id") -> str:
     return f"md5('{seed}:' || {key})"
 
 
-@query()
+@query(f"""with c as (select dataset_name, count(*) n from {NP} where dataset_name is not null group by 1), e as (select dataset_name, n - 1 room, (400 - count(*) over ()) * (n - 1)::double / (sum(n) over () - count(*) over ()) exact, 400 - count(*) over () free from c),
+    q as (select dataset_name, 1 + floor(exact) + (row_number() over (order by floor(exact) - exact, -room, dataset_name) <= free - sum(floor(exact)) over ())::int quota from e),
+    r as (select id, dataset_name, row_number() over (partition by dataset_name order by {_md5('s1')}, id) r from {NP}) select id, dataset_name from r join q using (dataset_name) where r <= quota""")
 def stratified_quota(spark, d):
     """400 negatives in proportion to their datasets."""
     return S.stratified(pairs(spark, d).select("id", "dataset_name"), "dataset_name", "id", 400, "s1")
