@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,27 @@ def test_tfidf_join_against_brute_force(spark):
     assert all(r == expected[p][1] and c == pytest.approx(expected[p][0], abs=1e-8) for p, (c, r) in got.items())
 
 
+def test_tfidf_bounds_keep_near_pairs_of_all_scripts_and_few_others():
+    rng = random.Random(3)
+    latin, han = (["".join(rng.choice(c) for _ in range(n)) for _ in range(150)] for c, n in (("abcdefghijklmnop", 7), ("咳发热痛肝肾肺心血压脑胃", 5)))
+    texts = [" ".join(rng.choice(w) for _ in range(40)) for w in (latin, han, latin + han) for _ in range(100)]
+    texts += [t.replace(t.split()[0], "é", 1) for t in texts[::4]] + ["", "zz"]
+    grams = np.concatenate([np.unique(np.concatenate([V._word_grams(w, (3, 4, 5)) for w in t.split()])) for t in texts if t])
+    hashes, n = np.unique(grams, return_counts=True)
+    weights = V._Weights(hashes, np.log((1 + len(texts)) / (1 + n)) + 1, (3, 4, 5))
+    for script in (0, 1):
+        weights.fit(script, texts)
+    x = np.zeros((len(texts), len(hashes)))
+    for i, t in enumerate(texts):
+        u, w = weights.vector(t)
+        x[i, u] = w
+    z = [[None if v is None else v.astype(np.float16).tobytes() for v in weights.coordinates(t)] for t in texts]
+    side = V._Side([[v[s] for v in z] for s in (0, 1)])
+    left = {p for i, j in side.near(side, 0.75 - V.SLACK) for p in zip(i.tolist(), j.tolist())}
+    near = set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.75))))
+    assert near <= left and len(near) > len(texts) and len(left) < 2 * len(near)
+
+
 def test_claim_history_quotas(spark):
     said = ["fever of two weeks", "chest pain at rest", "anemia often causes fatigue", "weight loss points to cancer", "iron loss explains pallor", "it is gastric cancer", "it is colon cancer", "the colon cancer is consistent with pallor"]
     units = [("x", i, k, s, t) for i, ((k, s), t) in enumerate(zip([("O", 0.1), ("O", 0.9), ("W", 0.0), ("D", 0.5), ("W", 0.6), ("C", 0.2), ("C", 0.4), ("C", 0.3)], said))]
